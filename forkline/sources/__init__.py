@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side counts as small enough to send to every executor, for rows of a few numbers.
 BROADCAST_ROWS = 1_000_000
+_SHIPPED: set[str] = set()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,3 +72,15 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bo
     if df.count() <= rows:
         return F.broadcast(df), True
     return df, False
+
+
+def shipped(spark: SparkSession) -> None:
+    """See to it that Python workers can import this package: send it along unless they inherit a path that holds it."""
+    root = Path(__file__).resolve().parents[2]
+    inherited = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    context = spark.sparkContext
+    if root in inherited or context.applicationId in _SHIPPED:
+        return
+    base = Path(tempfile.mkdtemp(prefix="forkline-package-")) / "forkline_package"
+    context.addPyFile(shutil.make_archive(str(base), "zip", root, "forkline"))
+    _SHIPPED.add(context.applicationId)
