@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from forkline.sources import written
+
 
 def with_next(df: DataFrame, keys: list[str], order: str, block: int, out: str = "next_value") -> DataFrame:
     """Add ``out``: the next greater value of ``order`` among rows of the same keys; null for the last.
@@ -63,3 +65,34 @@ def newest(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
 def flag(cond: Column) -> Column:
     """1 where ``cond`` holds, else 0 (also for null)."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
+
+
+def ranked(df: DataFrame, keys: list[str], order: str, block: int, out: str = "rank") -> DataFrame:
+    """Add ``out``: 1, 2, ... by ``order`` (a non-null integer, unique within the keys) among rows of the same keys.
+
+    Like ``row_number``, but a window group holds one block of ``block`` values of ``order`` at most.
+    """
+    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    sizes = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(order))
+    joined = blocked.withColumn("_in", within).join(sizes, [*keys, "_block"])
+    return joined.withColumn(out, (F.col("_base") + F.col("_in")).cast("bigint")).select(*df.columns, out)
+
+
+def numbered(df: DataFrame, order: list[Column], first: int, out: str) -> tuple[DataFrame, int]:
+    """Number all rows ``first``, ``first + 1``, ... in ``order``, and count them.
+
+    Rows are range-partitioned and written once, so that the numbers cannot change; only one count per partition goes to
+    the driver, and no task sorts more than its range.
+    """
+    parts = df.sparkSession.sparkContext.defaultParallelism * 2
+    placed = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    counts = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
+    bases, total = {}, 0
+    for part, n in counts:
+        bases[part], total = first + total, total + n
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in bases.items() for x in kv]), F.col("_part")) if bases else F.lit(first)
+    within = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return placed.withColumn(out, (base + within - 1).cast("bigint")).drop("_part"), total
