@@ -98,7 +98,8 @@ def visible_versions(requests: DataFrame, handles: DataFrame, nodes: DataFrame,
     """
     current = handles.filter("branch_id IS NOT NULL AND node_id IS NOT NULL").groupBy("project_id", "branch_id").agg(F.max_by("node_id", "commit_seq").alias("leaf"))
     asked = requests.filter("path IS NOT NULL").groupBy("request_id", "project_id", "branch_id", "path", "at_lsn").agg(F.lit(1).alias("_one"))
-    asked = asked.join(current, ["project_id", "branch_id"]).select("request_id", "leaf", "path", "at_lsn")
+    # one-row-per-key sides are written: over a grouping's own partitions Spark would not split a hot branch or path
+    asked = asked.join(written(current), ["project_id", "branch_id"]).select("request_id", "leaf", "path", "at_lsn")
     chain = lineage(nodes).withColumnRenamed("id", "leaf")
     points = asked.join(chain, "leaf", "left").select(
         "request_id", F.coalesce("ancestor", "leaf").alias("node_id"), "path", F.coalesce("depth", F.lit(0)).alias("depth"),
@@ -106,7 +107,7 @@ def visible_versions(requests: DataFrame, handles: DataFrame, nodes: DataFrame,
     )
     cut = written(regions(mutations))
     known = cut.groupBy("node_id", "path").agg(F.min("lsn").alias("first"), intervals.levels_in_use(cut, "lsn", "until").alias("bits"))
-    near = points.join(known, ["node_id", "path"]).filter(F.col("at") >= F.col("first")).drop("first")
+    near = points.join(written(known), ["node_id", "path"]).filter(F.col("at") >= F.col("first")).drop("first")
     met = intervals.probes(near, "at", "bits").join(intervals.filed(cut, "lsn", "until"), ["node_id", "path", "level", "cell"])
     met = met.filter((F.col("lsn") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     best = met.groupBy("request_id").agg(F.min(F.struct("depth", "node_id", "lsn", "dead")).alias("v"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from forkline.functions import month_of_millis
 from forkline.operators.ordering import newest
+from forkline.sources import written
 
 
 def children_of(df: DataFrame, table: str, key: Column, ref_key: Column, at: Column, scope: Column | None = None) -> DataFrame:
@@ -37,7 +38,8 @@ def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
     parent lives. A null key refers to nothing and gives no row; empty tables give no rows; repeated rows count once.
 
     The grouping combines before it shuffles, so a key that holds a third of all references costs one row per task.
-    Its children, if it is broken, meet the one row of their key in a join that Spark splits when skewed.
+    The broken groups are written out, one row each, so that the join with their children has a shuffle of its own on
+    either side, which Spark splits where a key is hot; over the grouping's own partitions it would not.
     """
     keys = ["ref_table", "scope", "target_key"]
     nothing = F.lit(None).cast("bigint")
@@ -46,7 +48,7 @@ def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
     )
     groups = long.groupBy(*keys).agg(F.min("since").alias("since"), F.max("parent").alias("parent"), F.min("first").alias("first"))
     broken = groups.filter(F.col("first").isNotNull() & (F.col("since").isNull() | (F.col("since") > F.col("first"))))
-    found = children.join(broken.drop("first"), keys).filter(
+    found = children.join(written(broken.drop("first")), keys).filter(
         F.col("since").isNull() | F.col("at").isNull() | (F.col("since") > F.col("at"))
     )
     reason = F.when(F.col("parent") == 0, "missing").when(F.col("since").isNull(), "deleted").otherwise("later")
