@@ -53,7 +53,7 @@ def members(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     visible form, with which a class can be held to canonical equivalence where collation is coarser.
 
     Only texts that share a coarse form (no accents) with a different text are grouped; that is found from 64-bit
-    hashes, so the corpus itself is not shuffled, and a class of any size shrinks to one row per task before it moves.
+    hashes, so the corpus itself is not shuffled. Copies of one stored text shrink to one row before classes are formed.
     """
     shipped(documents.sparkSession)
     texts = _texts(documents, id_col, text_col)
@@ -62,20 +62,22 @@ def members(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mixed = written(blocks.filter("min_h1 <> max_h1 OR min_h2 <> max_h2").select("block"))
     side, _ = small_side(mixed)
     held = texts.withColumn("block", F.xxhash64(_translated(F.col("text"), coarse_args()))).join(side, "block", "left_semi")
-    chosen = written(
-        held.select("id", "block", _mapped(F.col("text")).alias("mapped"), F.md5("text").alias("stored"), F.md5(visible_form("text")).alias("form"))
-    )
-    return chosen.sparkSession.sql(
+    chosen = written(held.select("id", "block", F.md5("text").alias("stored"), "text"))
+    # one row per stored spelling: copies of one text, however many, are mapped and compared once
+    spellings = chosen.groupBy("block", "stored").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    spellings = written(spellings.select("block", "stored", "id", _mapped(F.col("text")).alias("mapped"), F.md5(visible_form("text")).alias("form")))
+    classes = spellings.sparkSession.sql(
         """
         WITH class AS (
-          SELECT block, mapped COLLATE UNICODE AS look, min(id) AS canonical_id, count(DISTINCT stored) AS variants
-          FROM {chosen} GROUP BY block, mapped COLLATE UNICODE)
-        SELECT c.id, k.canonical_id, c.stored, c.form
-        FROM {chosen} c JOIN class k ON c.block = k.block AND c.mapped COLLATE UNICODE = k.look
+          SELECT block, mapped COLLATE UNICODE AS look, min(id) AS canonical_id, count(*) AS variants
+          FROM {spellings} GROUP BY block, mapped COLLATE UNICODE)
+        SELECT s.block, s.stored, s.form, k.canonical_id
+        FROM {spellings} s JOIN class k ON s.block = k.block AND s.mapped COLLATE UNICODE = k.look
         WHERE k.variants > 1
         """,
-        chosen=chosen,
+        spellings=spellings,
     )
+    return chosen.select("id", "block", "stored").join(written(classes), ["block", "stored"]).select("id", "canonical_id", "stored", "form")
 
 
 def lookalike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
