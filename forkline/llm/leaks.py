@@ -47,12 +47,18 @@ def letters(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes, starts = [], []
     for part in parts:
         folded = part.lower() if part.isascii() else unicodedata.normalize("NFC", part.casefold())
-        raw = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
-        keep = _kept()[raw]
-        begins = keep.copy()
-        begins[1:] &= ~keep[:-1]
-        codes += [raw[keep], np.array([GAP], np.uint32)]
-        starts += [begins[keep], np.array([True])]
+        inside = False
+        for lo in range(0, len(folded), SLICE):
+            raw = np.frombuffer(folded[lo : lo + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
+            keep = _kept()[raw]
+            begins = keep.copy()
+            begins[1:] &= ~keep[:-1]
+            begins[0] &= not inside
+            inside = bool(keep[-1])
+            codes.append(raw[keep])
+            starts.append(begins[keep])
+        codes.append(np.array([GAP], np.uint32))
+        starts.append(np.array([True]))
     if not codes:
         return np.empty(0, np.uint32), np.empty(0, bool)
     return np.concatenate(codes), np.concatenate(starts)
