@@ -13,68 +13,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forkline.operators import intervals
-from forkline.operators.ordering import newest, with_next
-from forkline.sources import dropped, written
+from forkline.operators.ordering import with_next
+from forkline.sources import written, written_counting
 
 #: Log positions of one block when versions of a path are put in order.
 LSN_BLOCK = 4096
 
 
-def _pairs_step(pairs: DataFrame, state: DataFrame, step: int) -> DataFrame:
-    """Pairs of the nodes that ``state`` still moves, ``step`` segments further up."""
-    hop = state.filter("ptr IS NOT NULL").select("id", "ptr", F.col("cap").alias("hop_cap"))
-    there = pairs.select(F.col("id").alias("ptr"), "ancestor", "depth", "cap")
-    return hop.join(there, "ptr").select("id", "ancestor", (F.col("depth") + step).alias("depth"), F.least("hop_cap", "cap").alias("cap"))
-
-
 def lineage(nodes: DataFrame) -> DataFrame:
     """``id, ancestor, depth, cap``: each segment with itself (depth 0) and all its ancestors.
 
     ``cap`` is the lowest ``fork_lsn`` on the way, null where nothing limits. A parent that is null or not recorded in
     the project ends the walk. On a circle the walk ends where it would meet a segment again: limits only fall, so a
     second visit sees nothing new. Repeated rows count once; among several rows of one segment the smallest parent
-    counts. Pointers double each round, so the rounds are the logarithm of the depth.
+    counts. Each round doubles the distance, so the rounds are the logarithm of the depth, and every pair is made once.
     """
     once = nodes.filter("node_id IS NOT NULL").groupBy("project_id", "node_id").agg(F.min(F.struct("parent_node_id", "fork_lsn")).alias("up"))
-    once = once.select("project_id", F.col("node_id").alias("id"), F.col("up.parent_node_id").alias("parent"), F.col("up.fork_lsn").alias("cap")).alias("a")
+    once = once.select("project_id", F.col("node_id").alias("id"), F.col("up.parent_node_id").alias("parent"), F.col("up.fork_lsn").alias("cap"))
     there = once.select(F.col("project_id").alias("p"), F.col("id").alias("ptr"))
-    state = written(once.join(there, F.col("project_id").eqNullSafe(F.col("p")) & (F.col("parent") == F.col("ptr")), "left").select("id", "ptr", F.when(F.col("ptr").isNotNull(), F.col("cap")).alias("cap")))
-    first = state
-    parts = [written(state.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("bigint").alias("cap")))]
-    step, active, before = 1, state.filter("ptr IS NOT NULL").count(), -1
-    while active and active != before:
-        pairs = parts[0]
-        for p in parts[1:]:
-            pairs = pairs.unionByName(p)
-        parts.append(written(_pairs_step(pairs, state, step)))
-        jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("further"), F.col("cap").alias("more"))
-        last, state = state, written(state.join(jump, "ptr", "left").select("id", F.col("further").alias("ptr"), F.when(F.col("further").isNotNull(), F.least("cap", "more")).alias("cap")))
-        if last is not first:
-            dropped(last)
-        step, before, active = step * 2, active, state.filter("ptr IS NOT NULL").count()
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
-    if active:
-        stuck = state.filter("ptr IS NOT NULL").select("id")
-        pairs = pairs.join(stuck, "id", "left_anti").unionByName(_around(first.join(stuck, "id", "left_semi")))
-    return pairs
-
-
-def _around(edges: DataFrame) -> DataFrame:
-    """The lineage pairs of segments on circles or leading into them, each ancestor at its first visit."""
-    state = edges
-    pairs = written(edges.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("bigint").alias("cap")))
-    step, held, before = 1, pairs.count(), -1
-    while held != before:
-        # an earlier visit is limited less, so the first one is the one of least depth
-        more = newest(pairs.unionByName(_pairs_step(pairs, state, step)).withColumn("depth", -F.col("depth")), ["id", "ancestor"], "depth")
-        last, pairs = pairs, written(more.select("id", "ancestor", (-F.col("depth")).alias("depth"), "cap"))
-        jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("further"), F.col("cap").alias("more"))
-        state = written(state.join(jump, "ptr").select("id", F.col("further").alias("ptr"), F.least("cap", "more").alias("cap")))
-        dropped(last)
-        step, before, held = step * 2, held, pairs.count()
-    return pairs
+    known = F.col("project_id").eqNullSafe(F.col("p")) & (F.col("parent") == F.col("ptr"))
+    edges = written(once.join(there, known, "left").select("id", "ptr", F.when(F.col("ptr").isNotNull(), F.col("cap")).alias("cap")))
+    up = edges.filter("ptr IS NOT NULL").select(F.col("id").alias("ancestor"), "ptr", F.col("cap").alias("more"))
+    pairs = edges.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("bigint").alias("cap"))
+    last, step, before = pairs, 1, -1
+    while True:
+        hop = last.filter(F.col("depth") == step - 1).join(up, "ancestor").select("id", "ptr", F.least("cap", "more").alias("hop_cap"))
+        onward = hop.join(pairs.withColumnRenamed("id", "ptr"), "ptr")
+        last, active = written_counting(
+            onward.select("id", "ancestor", (F.col("depth") + step).alias("depth"), F.least("hop_cap", "cap").alias("cap")), F.col("depth") == step
+        )
+        if not active:
+            return pairs
+        pairs = pairs.unionByName(last)
+        if active == before:  # no walk ended in this round: those left go round
+            stuck = last.filter(F.col("depth") == step).select("id")
+            walks = pairs.join(stuck, "id", "left_semi")
+            seen = walks.groupBy("id").agg(F.count(F.lit(1)).alias("steps"), F.count_distinct("ancestor").alias("met"))
+            if not seen.filter("steps = met").limit(1).count():
+                first = walks.groupBy("id", "ancestor").agg(F.min(F.struct("depth", "cap")).alias("v")).select("id", "ancestor", "v.depth", "v.cap")
+                return pairs.join(stuck, "id", "left_anti").unionByName(first)
+        before, step = active, step * 2
 
 
 def regions(mutations: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from forkline.operators import intervals
 from forkline.operators.ordering import with_offset
-from forkline.sources import dropped, written
+from forkline.sources import dropped, written, written_counting
 
 #: Siblings up to which their ranges are allocated in one window group.
 SIBLING_BLOCK = 100_000
@@ -30,8 +30,9 @@ def links_of(df: DataFrame, kind: str, key: Column, parent: Column, scope: Colum
     )
 
 
-def _active(df: DataFrame) -> int:
-    return df.filter(F.col("ptr").isNotNull()).count()
+def _moved(df: DataFrame) -> tuple[DataFrame, int]:
+    """The next state, written, and how many members still point somewhere."""
+    return written_counting(df, F.col("ptr").isNotNull())
 
 
 def _numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,15 +45,15 @@ def _numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _sizes(edges: DataFrame) -> DataFrame:
     """``id, ptr, size`` after the upward pass: ``ptr`` is null for members of trees, and their ``size`` is final."""
-    state = written(edges.select("id", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("size")))
-    active, before = _active(state), -1
+    state, active = _moved(edges.select("id", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("size")))
+    before = -1
     while active and active != before:
         gain = state.filter("ptr IS NOT NULL").groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain"))
         jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("further"))
         moved = state.join(jump, "ptr", "left").join(gain, "id", "left")
-        last, state = state, written(moved.select("id", F.col("further").alias("ptr"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")))
+        last, before = state, active
+        state, active = _moved(moved.select("id", F.col("further").alias("ptr"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")))
         dropped(last)
-        before, active = active, _active(state)
     return state
 
 
@@ -61,14 +62,15 @@ def _carried(edges: DataFrame, names: DataFrame | None) -> DataFrame:
     state = edges.select("id", F.col("parent").alias("ptr"), F.col("offset").alias("start"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.coalesce("parent", "id").alias("root"))
     if names is not None:
         state = state.join(names, "id")
-    state = written(state)
-    while _active(state):
+    state, active = _moved(state)
+    while active:
         jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), *[F.col(c).alias(f"_{c}") for c in state.columns if c not in ("id", "ptr")])
         moved = state.join(jump, "ptr", "left")
         to = [F.col("id"), F.col("_ptr").alias("ptr"), (F.col("start") + F.coalesce("_start", F.lit(0))).alias("start"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce("_root", "root").alias("root")]
         if names is not None:
             to.append(F.concat(F.coalesce("_path", F.lit("")), F.col("path")).alias("path"))
-        last, state = state, written(moved.select(*to))
+        last = state
+        state, active = _moved(moved.select(*to))
         dropped(last)
     return state
 
@@ -86,11 +88,12 @@ def _circles(edges: DataFrame, members: DataFrame) -> DataFrame:
         dropped(last)
         before, held = held, state.select("ptr").distinct().count()
     on = state.select(F.col("ptr").alias("id")).distinct()
-    ring = written(on.join(edges, "id").join(members.select("id", "member_key"), "id").select("id", F.col("parent").alias("ptr"), F.col("member_key").alias("least"), F.lit(True).alias("new")))
-    while ring.filter("new").limit(1).count():
+    ring, changed = written_counting(on.join(edges, "id").join(members.select("id", "member_key"), "id").select("id", F.col("parent").alias("ptr"), F.col("member_key").alias("least"), F.lit(True).alias("new")), F.col("new"))
+    while changed:
         jump = ring.select(F.col("id").alias("ptr"), F.col("ptr").alias("further"), F.col("least").alias("other"))
         moved = ring.join(jump, "ptr").select("id", F.col("further").alias("ptr"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("new"))
-        last, ring = ring, written(moved)
+        last = ring
+        ring, changed = written_counting(moved, F.col("new"))
         dropped(last)
     return state.join(ring.select(F.col("id").alias("ptr"), F.col("least").alias("root_key")), "ptr").select("id", "root_key")
 

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side counts as small enough to send to every executor, for rows of a few numbers.
@@ -56,6 +56,13 @@ def written(df: DataFrame, at_exit: bool = True) -> DataFrame:
     return out
 
 
+def written_counting(df: DataFrame, cond: Column) -> tuple[DataFrame, int]:
+    """Like :func:`written`, with the number of rows for which ``cond`` holds, counted while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.when(cond, 1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete the files of frames that :func:`written` made and that no later plan reads."""
     for df in frames:
