@@ -43,18 +43,26 @@ def _numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, written(members.join(up, [*PLACE, "parent_key"], "left").select("id", "parent"))
 
 
-def _sizes(edges: DataFrame) -> DataFrame:
-    """``id, ptr, size`` after the upward pass: ``ptr`` is null for members of trees, and their ``size`` is final."""
-    state, active = _moved(edges.select("id", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("size")))
-    before = -1
+def _sizes(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``id, size`` by the upward pass, final for members of trees, and the ``id`` of all others, None if there are none.
+
+    Round k passes up the size within distance 2**k of every member that has an ancestor that far; others drop out, so a
+    flat forest is done after a round or two. A member's size is one plus all that it was passed.
+    """
+    state, active = _moved(edges.filter("parent IS NOT NULL").select("id", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("size")))
+    before, passed = -1, []
     while active and active != before:
-        gain = state.filter("ptr IS NOT NULL").groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain"))
+        passed.append(state)
+        gain = state.groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain"))
         jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("further"))
-        moved = state.join(jump, "ptr", "left").join(gain, "id", "left")
-        last, before = state, active
+        moved = state.join(jump, "ptr").join(gain, "id", "left")
+        before = active
         state, active = _moved(moved.select("id", F.col("further").alias("ptr"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")))
-        dropped(last)
-    return state
+    parts = edges.select("id", F.lit(1).cast("bigint").alias("size"))
+    for p in passed:
+        parts = parts.unionByName(p.select(F.col("ptr").alias("id"), "size"))
+    sizes = parts.groupBy("id").agg(F.sum("size").alias("size"))
+    return written(sizes), state.select("id") if active else None
 
 
 def _carried(edges: DataFrame, names: DataFrame | None) -> DataFrame:
@@ -111,17 +119,18 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     """
     members, edges = _numbered(links)
     n = members.count()
-    sizes = _sizes(edges)
-    trees = sizes.filter("ptr IS NULL").join(edges, "id").select("id", "parent", F.coalesce("parent", F.lit(-1)).alias("above"), "size")
+    sizes, others = _sizes(edges)
+    trees = edges.join(others, "id", "left_anti") if others is not None else edges
+    trees = trees.join(sizes, "id").select("id", "parent", F.coalesce("parent", F.lit(-1)).alias("above"), "size")
     placed = with_offset(trees, ["above"], "id", "size", max(1, -(-n // SIBLING_BLOCK)))
     placed = placed.select("id", "parent", (F.col("offset") + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("offset"))
     names = members.select("id", F.concat(F.lit("/"), "member_key").alias("path")) if paths else None
     carried = _carried(placed, names)
     roots = members.select(F.col("id").alias("root"), F.col("member_key").alias("root_key"))
     extra = ["path"] if paths else []
-    out = carried.join(sizes.select("id", "size"), "id").join(roots, "root").select("id", "root_key", "depth", "start", "size", *extra)
-    stuck = edges.join(sizes.filter("ptr IS NOT NULL").select("id"), "id", "left_semi")
-    if stuck.limit(1).count():
+    out = carried.join(sizes, "id").join(roots, "root").select("id", "root_key", "depth", "start", "size", *extra)
+    if others is not None:
+        stuck = edges.join(others, "id", "left_semi")
         nothing = F.lit(None).cast("bigint")
         rings = _circles(stuck, members).select("id", "root_key", F.lit(-1).cast("bigint").alias("depth"), nothing.alias("start"), nothing.alias("size"), *[F.lit(None).cast("string").alias(c) for c in extra])
         out = out.unionByName(rings)
