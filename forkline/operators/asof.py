@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from forkline.operators import intervals
 from forkline.operators.ordering import with_next
-from forkline.sources import written, written_counting
+from forkline.sources import dropped, written, written_counting
 
 #: Log positions of one block when versions of a path are put in order.
 LSN_BLOCK = 4096
@@ -33,26 +33,60 @@ def lineage(nodes: DataFrame) -> DataFrame:
     there = once.select(F.col("project_id").alias("p"), F.col("id").alias("ptr"))
     known = F.col("project_id").eqNullSafe(F.col("p")) & (F.col("parent") == F.col("ptr"))
     edges = written(once.join(there, known, "left").select("id", "ptr", F.when(F.col("ptr").isNotNull(), F.col("cap")).alias("cap")))
+    circling = _circling(edges)
+    if circling is None:
+        return _straight(edges)
+    return _straight(edges.join(circling, "id", "left_anti")).unionByName(_around(edges.join(circling, "id", "left_semi")))
+
+
+def _circling(edges: DataFrame) -> DataFrame | None:
+    """The ``id`` of segments whose walk never ends, None if there are none: those left when a round ends no walk."""
+    state, active = written_counting(edges.filter("ptr IS NOT NULL").select("id", "ptr"), F.lit(True))
+    before = -1
+    while active and active != before:
+        jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("further"))
+        last, before = state, active
+        state, active = written_counting(state.join(jump, "ptr").select("id", F.col("further").alias("ptr")), F.lit(True))
+        dropped(last)
+    return state.select("id") if active else None
+
+
+def _own(edges: DataFrame) -> DataFrame:
+    return edges.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("bigint").alias("cap"))
+
+
+def _further(hop: DataFrame, pairs: DataFrame, step: int) -> DataFrame:
+    """The pairs reached through ``hop`` (``id, ptr, hop_cap``: where each walk is after ``step`` segments)."""
+    onward = hop.join(pairs.withColumnRenamed("id", "ptr"), "ptr")
+    return onward.select("id", "ancestor", (F.col("depth") + step).alias("depth"), F.least("hop_cap", "cap").alias("cap"))
+
+
+def _straight(edges: DataFrame) -> DataFrame:
+    """The lineage pairs of segments whose walks end."""
     up = edges.filter("ptr IS NOT NULL").select(F.col("id").alias("ancestor"), "ptr", F.col("cap").alias("more"))
-    pairs = edges.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("bigint").alias("cap"))
-    last, step, before = pairs, 1, -1
+    last = pairs = _own(edges)
+    step = 1
     while True:
         hop = last.filter(F.col("depth") == step - 1).join(up, "ancestor").select("id", "ptr", F.least("cap", "more").alias("hop_cap"))
-        onward = hop.join(pairs.withColumnRenamed("id", "ptr"), "ptr")
-        last, active = written_counting(
-            onward.select("id", "ancestor", (F.col("depth") + step).alias("depth"), F.least("hop_cap", "cap").alias("cap")), F.col("depth") == step
-        )
-        if not active:
+        last, made = written_counting(_further(hop, pairs, step), F.lit(True))
+        if not made:
             return pairs
-        pairs = pairs.unionByName(last)
-        if active == before:  # no walk ended in this round: those left go round
-            stuck = last.filter(F.col("depth") == step).select("id")
-            walks = pairs.join(stuck, "id", "left_semi")
-            seen = walks.groupBy("id").agg(F.count(F.lit(1)).alias("steps"), F.count_distinct("ancestor").alias("met"))
-            if not seen.filter("steps = met").limit(1).count():
-                first = walks.groupBy("id", "ancestor").agg(F.min(F.struct("depth", "cap")).alias("v")).select("id", "ancestor", "v.depth", "v.cap")
-                return pairs.join(stuck, "id", "left_anti").unionByName(first)
-        before, step = active, step * 2
+        pairs, step = pairs.unionByName(last), step * 2
+
+
+def _around(edges: DataFrame) -> DataFrame:
+    """The lineage pairs of segments on circles or leading into them, each ancestor at its first visit."""
+    state = edges.select("id", "ptr", F.col("cap").alias("hop_cap"))
+    pairs, step, held, before = _own(edges), 1, 0, -1
+    while held != before:
+        # of two visits the first is limited less
+        both = pairs.unionByName(_further(state, pairs, step)).groupBy("id", "ancestor").agg(F.min(F.struct("depth", "cap")).alias("v"))
+        before = held
+        pairs, held = written_counting(both.select("id", "ancestor", "v.depth", "v.cap"), F.lit(True))
+        jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("further"), F.col("hop_cap").alias("more"))
+        state = written(state.join(jump, "ptr").select("id", F.col("further").alias("ptr"), F.least("hop_cap", "more").alias("hop_cap")))
+        step *= 2
+    return pairs
 
 
 def regions(mutations: DataFrame) -> DataFrame:
