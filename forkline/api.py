@@ -10,7 +10,7 @@ from __future__ import annotations
 import secrets
 import string
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any, TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,13 +49,12 @@ def _node_id() -> int:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, chunk_size: int = chunking.DEFAULT_CHUNK_SIZE, content_defined: tuple[int, int, int] | None = None):
-        """``chunk_size`` cuts fixed blocks; ``content_defined`` gives min, average and max bytes instead."""
-        if chunk_size <= 0:
-            raise InvalidInput("chunk size must be positive")
-        if content_defined:
-            chunking.check_bounds(*content_defined)
-        self.spark, self.chunk_size, self.content_defined = spark, chunk_size, content_defined
+    def __init__(self, spark: SparkSession, root: str, chunk_size: int | None = None, chunker: chunking.Chunker | None = None):
+        """``chunker`` says how objects are cut; by default into blocks of ``chunk_size`` bytes."""
+        if chunk_size is not None and chunker is not None:
+            raise InvalidInput("give a chunk size or a chunker, not both")
+        self.spark = spark
+        self.chunker = chunker or chunking.FixedSize(chunking.DEFAULT_CHUNK_SIZE if chunk_size is None else chunk_size)
         self.log = CommitLog(spark, root)
 
     # state
@@ -340,10 +339,7 @@ class Engine:
         kind = F.col("content_type") if "content_type" in objects.columns else F.lit(None)
         extra = [c for c in objects.columns if c not in ("path", "content", "content_type")]
         rows = objects.select("path", F.coalesce("content", F.lit(b"")).alias("content"), F.coalesce(kind, F.lit(DEFAULT_CONTENT_TYPE)).alias("content_type"), *extra)
-        if self.content_defined:
-            rows = chunking.with_content_cuts(rows, "content", *self.content_defined)
-        else:
-            rows = rows.withColumn("cuts", chunking.fixed_cuts(F.col("content"), self.chunk_size))
+        rows = self.chunker.with_cuts(rows, "content")
         folder = self.log.new_folder("chunks")
         fresh = chunking.new_chunks(chunking.chunks_of(rows, "path", "content", "cuts"), self._stored(state))
         fresh.select(*[F.col(f.name).cast(f.dataType) for f in CHUNKS]).write.option("compression", "zstd").parquet(folder)
@@ -415,6 +411,16 @@ class Engine:
             raise ChunkStoreError(f"chunk {missing[0]} is missing")
         return b"".join(data[h] for h in meta.chunks)
 
+    def iter_object(self, project: str, branch: str, path: str, at_lsn: int | None = None) -> Iterator[bytes]:
+        """The object chunk by chunk, for objects that the driver cannot hold whole."""
+        meta = self.get_object_meta(project, branch, path, at_lsn)
+        stored = self._stored(self.log.state)
+        for h in meta.chunks:
+            row = stored.filter(F.col("hash") == F.lit(bytearray(h))).select("data").first() if stored is not None else None
+            if row is None:
+                raise ChunkStoreError(f"chunk {h.hex()} is missing")
+            yield bytes(row["data"])
+
     def get_objects(self, project: str, branch: str, paths: DataFrame | None = None, at_lsn: int | None = None) -> DataFrame:
         """``path, content`` of many objects at once; paths that show nothing have no row."""
         view = self.visible(project, branch, at_lsn)

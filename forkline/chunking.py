@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +118,41 @@ def with_content_cuts(objects: DataFrame, content_col: str, least: int, average:
     return objects.mapInArrow(of, f"{fields}, `{out}` array<struct<offset: bigint, length: bigint>>")
 
 
+class Chunker(Protocol):
+    """How objects are cut: adds a column ``cuts``, an array of ``(offset, length)``, for a binary column."""
+
+    def with_cuts(self, objects: DataFrame, content_col: str) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class FixedSize:
+    """Blocks of one size; the last may be shorter."""
+
+    size: int = DEFAULT_CHUNK_SIZE
+
+    def __post_init__(self) -> None:
+        if self.size <= 0:
+            raise InvalidInput("chunk size must be positive")
+
+    def with_cuts(self, objects: DataFrame, content_col: str) -> DataFrame:
+        return objects.withColumn("cuts", fixed_cuts(F.col(content_col), self.size))
+
+
+@dataclass(frozen=True)
+class ContentDefined:
+    """Cuts placed by the content, so that an insertion moves only the cuts near it."""
+
+    least: int
+    average: int
+    most: int
+
+    def __post_init__(self) -> None:
+        check_bounds(self.least, self.average, self.most)
+
+    def with_cuts(self, objects: DataFrame, content_col: str) -> DataFrame:
+        return with_content_cuts(objects, content_col, self.least, self.average, self.most)
+
+
 def new_chunks(chunks: DataFrame, stored: DataFrame | None) -> DataFrame:
     """``hash, data, length`` of chunks that are not stored yet, once each.
 

@@ -325,3 +325,39 @@ def test_stream_ingest(engine, spark, tmp_path):
     spark.createDataFrame([("a", None, True)], "path string, content binary, deleted boolean").write.mode("append").parquet(f"{tmp_path}/in")
     ingest(stream, engine, p, main, f"{tmp_path}/state").awaitTermination()
     assert [o.path for o in engine.list_objects(p, main).items] == ["b"]
+
+
+def test_content_defined_engine(spark, tmp_path):
+    from forkline import config
+
+    env = {"FORKLINE__WAREHOUSE__ROOT": f"file://{tmp_path}/c", "FORKLINE__CHUNKER__TYPE": "cdc"} | {f"FORKLINE__CHUNKER__{k}_BYTES": v for k, v in (("MIN", "64"), ("AVG", "256"), ("MAX", "1024"))}
+    engine = config.engine(spark, env)
+    project = engine.create_project()
+    p, main = project.project_id, project.root_branch_id
+    body = random.Random(5).randbytes(20_000)
+    engine.put_object(p, main, "a", body)
+    first = engine.frame("chunks").count()
+    engine.put_object(p, main, "b", b"new start" + body)
+    assert engine.frame("chunks").count() < first + 5
+    assert engine.get_object(p, main, "b") == b"new start" + body == b"".join(engine.iter_object(p, main, "b"))
+    for bad in ({"CHUNKER__TYPE": "x"}, {"CHUNKER__TYPE": "cdc"}, {"CHUNKER__CHUNK_SIZE_BYTES": "x"}, {"CHUNKER__CHUNK_SIZE_BYTES": "0"}):
+        with pytest.raises(errors.InvalidInput):
+            config.settings({f"FORKLINE__{k}": v for k, v in bad.items()})
+    s3 = config.settings({"FORKLINE__STORAGE__ENDPOINT": "http://localhost:9000", "FORKLINE__STORAGE__REGION": "r"}).storage
+    assert s3["spark.hadoop.fs.s3a.endpoint"] == "http://localhost:9000" and s3["spark.hadoop.fs.s3a.path.style.access"] == "true"
+
+
+def test_files_in_and_out(engine, spark, tmp_path):
+    from forkline.sources.files import files_as_objects, objects_as_files
+
+    bodies = {"a.txt": b"a", "d/b c.bin": bytes(3000), "d/e/c.txt": b""}
+    for name, body in bodies.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(body)
+    project = engine.create_project()
+    p, main = project.project_id, project.root_branch_id
+    engine.put_objects(p, main, files_as_objects(spark, f"{tmp_path}/in"))
+    assert [o.path for o in engine.list_objects(p, main).items] == sorted(bodies)
+    assert objects_as_files(engine.get_objects(p, main), f"{tmp_path}/out").count() == 3
+    assert {n: (tmp_path / "out" / n).read_bytes() for n in bodies} == bodies
+    assert files_as_objects(spark, f"file://{tmp_path}/in", "*.txt").count() == 2
