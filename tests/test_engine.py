@@ -361,3 +361,15 @@ def test_files_in_and_out(engine, spark, tmp_path):
     assert objects_as_files(engine.get_objects(p, main), f"{tmp_path}/out").count() == 3
     assert {n: (tmp_path / "out" / n).read_bytes() for n in bodies} == bodies
     assert files_as_objects(spark, f"file://{tmp_path}/in", "*.txt").count() == 2
+
+
+def test_concurrent_writers_share_one_log(engine, spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    project = engine.create_project()
+    p, main = project.project_id, project.root_branch_id
+    writers = [Engine(spark, engine.log.root, chunk_size=1024) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        lsns = list(pool.map(lambda x: writers[x[0]].put_object(p, main, f"f{x[1]}", b"x").lsn, [(i % 4, i) for i in range(12)]))
+    assert sorted(lsns) == list(range(1, 13))
+    assert {o.path: o.lsn for o in engine.list_objects(p, main).items} == {f"f{i}": lsn for i, lsn in enumerate(lsns)}

@@ -244,3 +244,24 @@ def test_offsets_are_disjoint(spark):
         for g in range(3):
             spans = sorted((r.offset, r.offset + r.w) for r in got if r.g == g)
             assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_rows_of_nulls_change_nothing(spark):
+    from .conftest import DATA
+
+    def load(name):
+        return spark.read.parquet(f"{DATA}/{name}.parquet")
+
+    def nulls(df):
+        return df.unionByName(spark.createDataFrame([tuple([None] * len(df.columns))] * 2, df.schema))
+
+    def results(change):
+        m, c, h, n, r, s, o = (change(load(t)) for t in ("mutations", "chunks", "branch_handles", "branch_nodes", "read_requests", "snapshots", "snapshot_objects"))
+        yield references.orphans(*references.collection_references(m, c, h))
+        yield changefeed.layer_state(m, ["chunks", "size"])
+        yield hierarchy.hierarchy(hierarchy.collection_links(n, h)).select("tree_kind", "member_key", "root_key", "depth", "size")
+        yield asof.visible_versions(r, h, n, m)
+        yield snapshot_diff.snapshot_changes(s, o, ["lsn", "size"])
+
+    for plain, nulled in zip(results(lambda df: df), results(nulls)):
+        assert rows(plain) == rows(nulled)
