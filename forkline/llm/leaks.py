@@ -196,6 +196,8 @@ def longest_run(codes: np.ndarray, starts: np.ndarray, item: Item, doc_pos: int,
 
     The run's first word must begin and its last word end where words of the document do.
     """
+    if doc_pos >= len(codes):  # a place in another text of the same id
+        return 0, doc_pos, doc_pos
     ahead = min(len(codes) - doc_pos, len(item.codes) - item_pos)
     other = np.flatnonzero(codes[doc_pos : doc_pos + ahead] != item.codes[item_pos : item_pos + ahead])
     end = item_pos + (int(other[0]) if len(other) else ahead)
@@ -246,7 +248,8 @@ def leaked(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text
     """``doc_id, item_id``: each document with each item of which it holds at least half the words as one unbroken run.
 
     The window follows from the items: half an item in letters, 64 at most, never less than the k-gram. Null and empty
-    texts and items hold nothing; rows without id are left out; repeated rows count once. Texts are used whole, in slices
+    texts and items hold nothing; rows without id are left out; repeated rows count once, and an id with several texts
+    holds what any of them holds. Texts are used whole, in slices
     that overlap by a window. Item fingerprints are broadcast only after a count shows that they are few; otherwise the
     fingerprints meet in a shuffled join. Texts are decoded again only for the documents with a hit.
     """

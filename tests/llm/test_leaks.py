@@ -55,6 +55,8 @@ def test_edges(spark):
     assert held(spark, [ITEM, ITEM], [(1, ITEM), (1, ITEM), (2, None), (3, ""), (4, "?!"), (None, ITEM)]) == [(0, 1), (1, 1)]
     assert held(spark, ["one", "two one", "twoone"], [(1, "one"), (2, "two words")]) == [(0, 1), (1, 1), (1, 2)]
     assert held(spark, [ITEM], [(5, None)]) == []
+    two = spark.createDataFrame([(1, "short"), (1, "x " * 500 + ITEM), (1, None), (None, None)], "doc_id bigint, text string")
+    assert leaks.leaked(two, spark.createDataFrame([(1, ITEM), (None, None)], "item_id bigint, item_text string")).collect() == [(1, 1)]
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, ITEM)], "item_id bigint, item_text string")
     assert leaks.leaked(docs, items).count() == 0
