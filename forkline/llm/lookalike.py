@@ -44,8 +44,10 @@ def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.col("text") != ""))
 
 
-def members(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, canonical_id, stored, form``: each document of a class of texts that look the same but are stored differently.
+def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Classes of texts that look the same but are stored differently, and the documents that may be in one.
+
+    Returns ``id, block, stored`` of documents and ``block, stored, form, canonical_id`` of the spellings of classes.
 
     Look-alike letters, widths, spaces and zero-width characters are mapped in SQL, and the mapped values are grouped
     under Spark's Unicode collation, which tells accents and case apart but not composed from combining accents. The
@@ -66,7 +68,7 @@ def members(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # one row per stored spelling: copies of one text, however many, are mapped and compared once
     spellings = chosen.groupBy("block", "stored").agg(F.min("id").alias("id"), F.min("text").alias("text"))
     spellings = written(spellings.select("block", "stored", "id", _mapped(F.col("text")).alias("mapped"), F.md5(visible_form("text")).alias("form")))
-    classes = spellings.sparkSession.sql(
+    found = spellings.sparkSession.sql(
         """
         WITH class AS (
           SELECT block, mapped COLLATE UNICODE AS look, min(id) AS canonical_id, count(*) AS variants
@@ -77,20 +79,25 @@ def members(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """,
         spellings=spellings,
     )
-    return chosen.select("id", "block", "stored").join(written(classes), ["block", "stored"]).select("id", "canonical_id", "stored", "form")
+    return chosen.select("id", "block", "stored"), written(found)
 
 
 def lookalike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id_a, doc_id_b``: each pair of documents whose stored texts differ but look the same, smaller id first.
 
-    Null and empty texts form no pairs, nor do equal texts; null ids are left out. Pairs are made within a class of
-    :func:`members` and need equal visible forms. Repeated rows of one id make one pair.
+    Null and empty texts form no pairs, nor do equal texts; null ids are left out. Repeated rows of one id make one pair.
+    Two spellings of a class that have equal visible forms are paired first, then their documents: copies of one spelling
+    never meet each other, and the work is the number of pairs.
     """
-    rows = members(documents, id_col, text_col).distinct()
-    a = rows.select("canonical_id", "form", F.col("id").alias("doc_id_a"), F.col("stored").alias("stored_a"))
-    b = rows.select("canonical_id", "form", F.col("id").alias("doc_id_b"), F.col("stored").alias("stored_b"))
-    pairs = a.join(b, ["canonical_id", "form"]).filter("doc_id_a < doc_id_b AND stored_a <> stored_b")
-    return pairs.select("doc_id_a", "doc_id_b").distinct()
+    rows, spellings = classes(documents, id_col, text_col)
+    rows = rows.distinct()
+    key = ["block", "canonical_id", "form"]
+    a = spellings.select(*key, F.col("stored").alias("stored_a"))
+    b = spellings.select(*key, F.col("stored").alias("stored_b"))
+    two = a.join(b, key).filter("stored_a < stored_b").select("block", "stored_a", "stored_b")
+    pairs = two.join(rows.select("block", F.col("stored").alias("stored_a"), F.col("id").alias("a")), ["block", "stored_a"])
+    pairs = pairs.join(rows.select("block", F.col("stored").alias("stored_b"), F.col("id").alias("b")), ["block", "stored_b"])
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
 
 def canonical_members(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +105,9 @@ def canonical_members(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
     ``canonical_id`` is the smallest id of the texts that look the same, ``variants`` the number of stored spellings.
     """
-    rows = members(documents, id_col, text_col)
-    exact = rows.groupBy("canonical_id", "form").agg(F.min("id").alias("canonical"), F.count_distinct("stored").alias("variants"))
-    out = rows.join(exact.filter("variants > 1"), ["canonical_id", "form"])
-    return out.select(F.col("id").alias("doc_id"), F.col("canonical").alias("canonical_id"), "variants").distinct()
+    rows, spellings = classes(documents, id_col, text_col)
+    exact = spellings.groupBy("block", "canonical_id", "form").agg(F.count(F.lit(1)).alias("variants"))
+    several = spellings.join(exact.filter("variants > 1"), ["block", "canonical_id", "form"]).drop("canonical_id")
+    held = rows.join(written(several), ["block", "stored"])
+    least = held.groupBy("block", "form").agg(F.min("id").alias("canonical_id"))
+    return held.join(written(least), ["block", "form"]).select(F.col("id").alias("doc_id"), "canonical_id", "variants").distinct()
