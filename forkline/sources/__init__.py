@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a side counts as small enough to send to every executor, for rows of a few numbers.
 BROADCAST_ROWS = 1_000_000
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,12 +24,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else one of our own, for local runs."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        own = f"file://{tempfile.mkdtemp(prefix='forkline-')}"
-        spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    """The folder all executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
+
+    Only where neither is set, as in tests, it is a folder of our own on this machine.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='forkline-')}"
+    return _OWN[context.applicationId]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
