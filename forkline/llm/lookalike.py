@@ -26,18 +26,20 @@ def visible_form(texts: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def _ordered_marks(texts: pd.Series) -> pd.Series:
+def _decomposed(texts: pd.Series) -> pd.Series:
+    """Canonical decomposition, marks in canonical order; null for null."""
     return texts.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
 
 
 def _mapped(text: Column) -> Column:
-    """Look-alike characters mapped in SQL.
+    """Look-alike characters mapped in SQL; equal for texts of equal visible form.
 
-    Spark's collation takes several accents on one letter as equal only in canonical order, so texts with such runs get
-    that order; all others are left to the collation.
+    Spark's collation does not put marks in canonical order, so all texts that are not ASCII after the one-to-one changes
+    are decomposed first. Then the base letters of those with a longer visible form change one by one, too.
     """
     plain = F.translate(text, *translate_args())
-    return F.coalesce(_ordered_marks(F.when(plain.rlike(r"\p{M}{2}"), plain)), plain)
+    parts = _decomposed(F.when(F.octet_length(plain) != F.length(plain), plain))
+    return F.coalesce(F.translate(parts, *translate_args()), plain)
 
 
 def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from forkline.llm import lookalike, queries
 from forkline.llm.unicode_forms import coarse_args, translate_args, visible, visible_map
@@ -10,6 +11,7 @@ from .. import conftest
 SAME = [
     ("\uff21bc\uff11", "Abc1"), ("cafe\u0301", "caf\u00e9"), ("a\u200bb", "ab"), ("a\u00a0b", "a b"), ("\u0430\u3000b", "a b"), ("p\u0430yp\u0430l", "paypal"), ("\u0391\u0392\u0395", "ABE"),
     ("\uff76\uff9e", "\u30ac"), ("\u0451", "\u00eb"), ("S\u0307\u0323", "\u1e68"), ("\u1e62\u0307", "\u1e68"), ("\u212b", "A\u030a"), ("\u212a", "K"), ("n\ufeff\u2060o", "n\u03bf"),
+    ("\u00ca\u0323", "\u1ec6"), ("\u1e60\u0323", "\u1e68"), ("\u040e", "Y\u0306"), ("\u1f40", "o\u0313"), ("e\u0302\u200b\u0323", "\u1ec7"),
 ]
 OTHER = [("a", "A"), ("\u00e9", "e"), ("1", "l"), ("a b", "a  b"), ("a\n", "a\r\n"), ("a.", "a!"), ("\u00bd", "1/2"), ("\ufb01", "fi"), ("a\tb", "a b"), ("a\x01", "a"), ("\u00b2", "2")]
 
@@ -63,6 +65,14 @@ def test_edges(spark):
     assert lookalike.lookalike_pairs(empty).count() == lookalike.canonical_members(empty).count() == 0
 
 
+def test_mapped_follows_the_visible_form(spark):
+    # every character that has another form, alone and before and after marks that need another order
+    chars = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000)]) if c in visible_map() or unicodedata.decomposition(c)]
+    texts = [t for c in chars for t in (c, c + "\u0323", "A\u0301" + c + "\u0327\u200b\u0316")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", lookalike._mapped(F.col("text")).alias("mapped"))
+    assert [t for t, m in df.collect() if m != unicodedata.normalize("NFD", visible(t))] == []
+
+
 def test_canonical(spark):
     df = spark.createDataFrame([(9, "a b"), (3, "\u0430 b"), (4, "a b"), (5, "c")], "doc_id bigint, text string")
     assert sorted(map(tuple, lookalike.canonical_members(df).collect())) == [(3, 3, 2), (4, 3, 2), (9, 3, 2)]
