@@ -1,3 +1,5 @@
+import random
+import re
 import unicodedata
 
 import pytest
@@ -13,7 +15,7 @@ SAME = [
     ("\uff76\uff9e", "\u30ac"), ("\u0451", "\u00eb"), ("S\u0307\u0323", "\u1e68"), ("\u1e62\u0307", "\u1e68"), ("\u212b", "A\u030a"), ("\u212a", "K"), ("n\ufeff\u2060o", "n\u03bf"),
     ("\u00ca\u0323", "\u1ec6"), ("\u1e60\u0323", "\u1e68"), ("\u040e", "Y\u0306"), ("\u1f40", "o\u0313"), ("e\u0302\u200b\u0323", "\u1ec7"),
 ]
-OTHER = [("a", "A"), ("\u00e9", "e"), ("1", "l"), ("a b", "a  b"), ("a\n", "a\r\n"), ("a.", "a!"), ("\u00bd", "1/2"), ("\ufb01", "fi"), ("a\tb", "a b"), ("a\x01", "a"), ("\u00b2", "2")]
+OTHER = [("a", "A"), ("\u00e9", "e"), ("1", "l"), ("a b", "a  b"), ("a\n", "a\r\n"), ("a.", "a!"), ("\u00bd", "1/2"), ("\ufb01", "fi"), ("a\tb", "a b"), ("a\x01", "a"), ("\u00b2", "2"), ("\u0e40\u0e01", "\u0e01\u0e40"), ("a\x01b", "ab\x01"), ("\u0661", "1"), ("\U0001d41a", "\U0001d44e")]
 
 
 @pytest.mark.parametrize("a, b", SAME)
@@ -73,6 +75,48 @@ def test_mapped_follows_the_visible_form(spark):
     assert [t for t, m in df.collect() if m != unicodedata.normalize("NFD", visible(t))] == []
 
 
+def _equal_to_collation(spark, pairs_of_texts):
+    """For pairs of texts: whether class key and guard agree, which is what decides in the operator."""
+    df = spark.createDataFrame(pairs_of_texts, "a string, b string").select("a", "b", lookalike._mapped(F.col("a")).alias("ma"), lookalike._mapped(F.col("b")).alias("mb"))
+    df = df.withColumn("g", lookalike._guard(F.col("ma")) == lookalike._guard(F.col("mb")))
+    return [(r.a, r.b, r.same) for r in df.selectExpr("a", "b", "g AND ma COLLATE UNICODE = mb COLLATE UNICODE AS same").collect()]
+
+
+def test_every_changing_character_keeps_its_pair(spark):
+    # each character with another form, with its canonical decomposition, and with its marks in another order
+    chars = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000)]) if c in visible_map() or (unicodedata.decomposition(c) and "<" not in unicodedata.decomposition(c))]
+    two = [(f"x{c}\u0323 {c}y", f"x{visible(c)}\u0323 {visible(c)}y") for c in chars] + [(f"{c} z", unicodedata.normalize("NFD", c) + " z") for c in chars]
+    two += [(f"z {c}\u0301\u0316", "z " + unicodedata.normalize("NFC", visible(c) + "\u0316\u0301")) for c in chars]
+    assert len(two) > 5684 and [(a, b) for a, b, same in _equal_to_collation(spark, two) if not same] == []
+
+
+def test_what_the_collation_does_not_tell_apart_is_guarded(spark):
+    # every character against those that the collation holds equal to it, and every ignored one against its absence
+    chars = [chr(c) for c in [*range(0x300, 0xD800), *range(0xE000, 0x20000)] if unicodedata.normalize("NFD", visible(chr(c))) == chr(c)] + [chr(c) for c in range(1, 0x300)]
+    df = spark.createDataFrame([(c,) for c in chars], "c string").selectExpr("c", "concat('a', c, 'b') COLLATE UNICODE AS look")
+    groups = df.groupBy("look").agg(F.collect_list("c").alias("cs")).filter("size(cs) > 1").collect()
+    two = [(f"a{x}b", f"a{y}b") for r in groups for x, y in zip(r.cs, r.cs[1:])] + [(f"a{c}b", f"ab{c}") for r in groups if "\x01" in r.cs for c in r.cs] + [("a\x01b", "ab")]
+    assert len(two) > 2000 and [(a, b) for a, b, same in _equal_to_collation(spark, two) if same != (visible(a) == visible(b))] == []
+
+
+def test_plain_strings_are_told_apart(spark):
+    rnd = random.Random(5)
+    plain = [chr(c) for c in range(0x10000) if re.fullmatch(lookalike.PLAIN, chr(c))]
+    latin = [c for c in plain if ord(c) < 0x180]
+    texts = {"".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 4))) for pool in (plain, latin) for _ in range(100_000)}
+    df = spark.createDataFrame([(t,) for t in {unicodedata.normalize("NFD", visible(t)) for t in texts}], "t string")
+    looks = df.select(lookalike._guard(F.col("t")).alias("g"), F.expr("t COLLATE UNICODE").alias("look"))
+    assert looks.distinct().count() == df.count()
+
+
+def test_accented_sentences_pair_in_both_forms(spark):
+    sentences = ["Ў нашым доме ўсё добра.", "Ή ζωή είναι ωραία, ἀλλὰ σύντομη.", "Їжак їсть ґрунт і йде.", "Việt Nam đất nước tôi yêu."]
+    rows = [(10 * i + j, unicodedata.normalize(f, s) + f" {i}") for i, s in enumerate(sentences) for j, f in enumerate(("NFC", "NFD"))]
+    assert pairs(spark, rows) == [(10 * i, 10 * i + 1) for i in range(len(sentences))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, lookalike.canonical_members(df).collect())) == [(10 * i + j, 10 * i, 2) for i in range(len(sentences)) for j in (0, 1)]
+
+
 def test_canonical(spark):
     df = spark.createDataFrame([(9, "a b"), (3, "\u0430 b"), (4, "a b"), (5, "c")], "doc_id bigint, text string")
     assert sorted(map(tuple, lookalike.canonical_members(df).collect())) == [(3, 3, 2), (4, 3, 2), (9, 3, 2)]
