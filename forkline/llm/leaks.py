@@ -96,35 +96,43 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _sliding(values: np.ndarray, w: int, pick) -> np.ndarray:
-    """The least or greatest of each w values in a row, by doubling."""
+def _least(values: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w values in a row, by doubling."""
     done = 1
     while done < w:
         step = min(done, w - done)
-        values = pick(values[:-step], values[step:])
+        values = np.minimum(values[:-step], values[step:])
         done += step
     return values
 
 
 def winnowed(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the k-grams that are least in some window of w, over the whole stream, slice by slice."""
+    """Positions and hashes of one k-gram of each window of w, over the whole stream, slice by slice.
+
+    It is the one of least hash (by its upper bits), of several such the rightmost: equal windows keep equal places, and
+    text that repeats itself keeps one gram per window.
+    """
     at, kept = [], []
+    bits = np.uint64((SLICE + w + k).bit_length())
+    low = np.uint64(1 << int(bits)) - np.uint64(1)
     for lo in range(0, max(1, len(codes)), SLICE):
-        piece = codes[lo : lo + SLICE + w + k - 2]
-        hashes = gram_hashes(piece, k)
+        hashes = gram_hashes(codes[lo : lo + SLICE + w + k - 2], k)
         if len(hashes) < w:
             continue
-        least = _sliding(hashes, w, np.minimum)
-        # a k-gram is kept if the window least is its own in any window that holds it
-        padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
-        mine = np.flatnonzero((_sliding(padded, w, np.maximum) == hashes) & (hashes != _NONE))
+        # places make the keys unique: among equal upper bits the rightmost is least
+        keys = (hashes & ~low) | (low - np.arange(len(hashes), dtype=np.uint64))
+        keys[hashes == _NONE] = _NONE
+        least = _least(keys, w)
+        least = least[least != _NONE]
+        mine = (low - (least & low)).astype(np.int64)
+        mine = mine[np.flatnonzero(np.diff(mine, prepend=-1))]
         at.append(mine + lo)
         kept.append(hashes[mine])
     if not at:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     where, hashes = np.concatenate(at), np.concatenate(kept)
     where, first = np.unique(where, return_index=True)
-    return where.astype(np.int64), hashes[first]
+    return where, hashes[first]
 
 
 class Item:
@@ -191,54 +199,45 @@ def _prints(documents: DataFrame, classes: list[tuple[int, int]]) -> DataFrame:
     return documents.mapInPandas(of, "doc_id bigint, k int, doc_pos bigint, print bigint")
 
 
-def longest_run(codes: np.ndarray, starts: np.ndarray, item: Item, doc_pos: int, item_pos: int) -> tuple[int, int, int]:
-    """Words of the run through a hit, extended both ways, and its letters' begin and end in the document.
+def longest_run(codes: np.ndarray, starts: np.ndarray, item: Item, shift: int) -> int:
+    """Words of the longest unbroken run of the item in a document, with the item laid at ``shift`` over it.
 
-    The run's first word must begin and its last word end where words of the document do.
+    The run's first word must begin and its last word end where words of the document do. Runs of fewer letters than
+    half of the item has count as none.
     """
-    if doc_pos >= len(codes):  # a place in another text of the same id
-        return 0, doc_pos, doc_pos
-    ahead = min(len(codes) - doc_pos, len(item.codes) - item_pos)
-    other = np.flatnonzero(codes[doc_pos : doc_pos + ahead] != item.codes[item_pos : item_pos + ahead])
-    end = item_pos + (int(other[0]) if len(other) else ahead)
-    back = min(doc_pos, item_pos)
-    other = np.flatnonzero(codes[doc_pos - back : doc_pos][::-1] != item.codes[item_pos - back : item_pos][::-1])
-    begin = item_pos - (int(other[0]) if len(other) else back)
-    shift = doc_pos - item_pos
-    first, last = np.searchsorted(item.begins, begin), np.searchsorted(item.ends, end, "right") - 1
-    while first <= last and not starts[item.begins[first] + shift]:
-        first += 1
-    while last >= first and item.ends[last] + shift < len(starts) and not starts[item.ends[last] + shift]:
-        last -= 1
-    if first > last:
-        return 0, doc_pos, doc_pos
-    return int(last - first + 1), int(item.begins[first] + shift), int(item.ends[last] + shift)
+    lo, hi = max(0, -shift), min(len(item.codes), len(codes) - shift)
+    if lo >= hi:  # a place in another text of the same id
+        return 0
+    cuts = np.concatenate([[lo - 1], lo + np.flatnonzero(codes[lo + shift : hi + shift] != item.codes[lo:hi]), [hi]])
+    most = 0
+    long = np.flatnonzero(np.diff(cuts) > item.shortest)
+    for left, right in zip(cuts[long] + 1, cuts[long + 1], strict=True):  # letters left to right - 1 are equal
+        first, last = np.searchsorted(item.begins, left), np.searchsorted(item.ends, right, "right") - 1
+        if last - first + 1 <= most:
+            continue
+        begins = np.flatnonzero(starts[item.begins[first : last + 1] + shift])
+        after = item.ends[first : last + 1] + shift
+        ends = np.flatnonzero((after >= len(starts)) | starts[np.minimum(after, len(starts) - 1)])
+        if len(begins) and len(ends):
+            most = max(most, int(ends[-1] - begins[0] + 1))
+    return most
 
 
 def _extended(hits: DataFrame) -> DataFrame:
-    """Hits ``doc_id, text, item_id, item_text, places`` to ``doc_id, item_id`` of those that hold half an item."""
+    """Texts with their hits, ``doc_id, text, wanted``, to ``doc_id, item_id`` of those that hold half an item."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items: dict[str, Item] = {}
-        last, stream = None, None
         for rows in batches:
             found = []
-            for doc, text, i, item_text, places in zip(*(rows[c] for c in ("doc_id", "text", "item_id", "item_text", "places")), strict=True):
-                if text is not last and text != last:
-                    last, stream = text, letters(visible_parts(text))
-                if len(items) > 10_000:
-                    items.clear()
-                item = items.get(item_text) or items.setdefault(item_text, Item(item_text))
-                reached: dict[int, int] = {}
-                for place in sorted(places, key=lambda p: (p["doc_pos"] - p["item_pos"], p["doc_pos"])):
-                    d, q = int(place["doc_pos"]), int(place["item_pos"])
-                    if reached.get(d - q, -1) > d:
-                        continue
-                    words, _, end = longest_run(*stream, item, d, q)
-                    reached[d - q] = end
-                    if words >= item.needed:
-                        found.append((doc, i))
-                        break
+            for doc, text, wanted in zip(rows["doc_id"], rows["text"], rows["wanted"], strict=True):
+                codes, starts = letters(visible_parts(text))
+                for hit in wanted:
+                    if len(items) > 10_000:
+                        items.clear()
+                    item = items.get(hit["item_text"]) or items.setdefault(hit["item_text"], Item(hit["item_text"]))
+                    if any(longest_run(codes, starts, item, int(s)) >= item.needed for s in hit["shifts"]):
+                        found.append((doc, hit["item_id"]))
             yield pd.DataFrame(found, columns=["doc_id", "item_id"])
 
     return hits.mapInPandas(of, "doc_id bigint, item_id bigint")
@@ -249,9 +248,10 @@ def leaked(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text
 
     The window follows from the items: half an item in letters, 64 at most, never less than the k-gram. Null and empty
     texts and items hold nothing; rows without id are left out; repeated rows count once, and an id with several texts
-    holds what any of them holds. Texts are used whole, in slices
-    that overlap by a window. Item fingerprints are broadcast only after a count shows that they are few; otherwise the
-    fingerprints meet in a shuffled join. Texts are decoded again only for the documents with a hit.
+    holds what any of them holds. Texts are used whole, in slices that overlap by a window. Item fingerprints are
+    broadcast only after a count shows that they are few; otherwise the fingerprints meet in a shuffled join. Hits shrink
+    to diagonals (how far an item would have to be moved to lie on the hit), of which a document has at most as many as
+    letters with each item. Texts are decoded again only for the documents with a hit.
     """
     shipped(documents.sparkSession)
     texts = documents.select(F.col(doc_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.col("text") != ""))
@@ -259,10 +259,12 @@ def leaked(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text
     classes = [(r["k"], r["w"]) for r in prints.select("k", "w").distinct().collect()]  # seven at most
     side, _ = small_side(prints.drop("w"), ITEM_PRINTS)
     hits = _prints(texts, classes).join(side, ["k", "print"])
-    places = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("doc_pos", "item_pos")).alias("places"))
-    places = written(places)
-    docs, few = small_side(written(places.select(F.col("doc_id").alias("id")).distinct()))
+    # one place per document, item and diagonal: the whole item is compared where it would lie
+    shifts = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.col("doc_pos") - F.col("item_pos")).alias("shifts"))
+    wanted = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).filter("item_text IS NOT NULL").distinct()
+    # one row per document, so that its text never is copied per item; the short texts of the items travel instead
+    met = shifts.join(wanted, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "shifts")).alias("wanted"))
+    met = written(met)
+    docs, _ = small_side(met.select(F.col("doc_id").alias("id")))
     held = texts.join(docs, "id", "left_semi").withColumnRenamed("id", "doc_id")
-    wanted = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).filter("item_text IS NOT NULL")
-    rows = places.join(held, "doc_id").join(wanted, "item_id").select("doc_id", "text", "item_id", "item_text", "places")
-    return _extended(rows.repartition("doc_id").sortWithinPartitions("doc_id")).distinct()
+    return _extended(held.join(met, "doc_id").select("doc_id", "text", "wanted")).distinct()

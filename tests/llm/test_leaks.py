@@ -73,7 +73,7 @@ def test_long_text_is_searched_whole(spark, monkeypatch):
         item = leaks.Item(ITEM)
         k, w = leaks._class_of(item.shortest)
         mine = {int(h): int(q) for q, h in zip(*leaks.winnowed(item.codes, k, w))}
-        runs = [leaks.longest_run(codes, starts, item, int(p), mine[int(h)])[0] for p, h in zip(*leaks.winnowed(codes, k, w)) if int(h) in mine]
+        runs = [leaks.longest_run(codes, starts, item, int(p) - mine[int(h)]) for p, h in zip(*leaks.winnowed(codes, k, w)) if int(h) in mine]
         assert max(runs) == len(WORDS)
 
 
@@ -96,6 +96,29 @@ def test_every_long_shared_span_shares_a_print(data):
     assert set(leaks.winnowed(a, k, w)[1].tolist()) & set(leaks.winnowed(b, k, w)[1].tolist())
 
 
+def test_a_window_keeps_its_rightmost_least():
+    codes = np.array([ord("a"), ord("b")] * 500, np.uint32)
+    where, _ = leaks.winnowed(codes, 4, 10)
+    assert len(where) <= 500 and set(np.diff(where)) == {2}
+    rnd = np.random.default_rng(3).integers(97, 100, 400).astype(np.uint32)
+    hashes = leaks.gram_hashes(rnd, 5)
+    low = np.uint64((1 << (leaks.SLICE + 7 + 5).bit_length()) - 1)
+    top = hashes & ~low
+    want = {max(range(s, s + 7), key=lambda i: (-int(top[i]), i)) for s in range(len(hashes) - 6)}
+    assert set(leaks.winnowed(rnd, 5, 7)[0].tolist()) == want
+
+
+def test_repeated_words_stay_linear(spark):
+    # every fingerprint of the item meets every one of the document
+    item = "lamp " * 200
+    docs = spark.createDataFrame([(1, "lamp " * 5000), (2, "lamp " * 99), (3, "lamp " * 100)], "doc_id bigint, text string")
+    assert sorted(map(tuple, leaks.leaked(docs, spark.createDataFrame([(7, item)], "item_id bigint, item_text string")).collect())) == [(1, 7), (3, 7)]
+    k, w = leaks._class_of(leaks.Item(item).shortest)
+    codes = leaks.letters(["lamp " * 5000])[0]
+    places = {int(a) - int(b) for a in leaks.winnowed(codes, k, w)[0] for b in leaks.winnowed(leaks.Item(item).codes, k, w)[0]}
+    assert len(places) <= 5200
+
+
 def test_gram_hashes_depend_on_the_gram_only():
     codes = np.array(list(b"abcabcabc") + [leaks.GAP] + list(b"abc"), np.uint32)
     for k in range(1, 8):
