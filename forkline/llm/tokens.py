@@ -124,11 +124,15 @@ def encoder(model: bytes) -> Encoder:
     return Encoder(model)
 
 
-def _decoder(ranks: dict[bytes, int]) -> dict[int, bytes]:
-    return {r: t for t, r in ranks.items()}
+@functools.lru_cache(2)
+def piece_bytes(model: bytes) -> list[bytes]:
+    """The bytes of each piece of a model: the inverse of the letters that stand for them; none for unused pieces."""
+    sp, of_letter = encoder(model).sp, {c: b for b, c in enumerate(byte_letters())}
+    pieces = ((i, sp.id_to_piece(i)) for i in range(sp.get_piece_size()))
+    return [b"" if sp.is_unused(i) or sp.is_unknown(i) else bytes(of_letter[c] for c in piece) for i, piece in pieces]
 
 
-def decode(ids: Iterable[int], pieces: dict[int, bytes]) -> str:
+def decode(ids: Iterable[int], pieces: list[bytes]) -> str:
     """The text of ids by the inverse mapping; bytes that are no UTF-8 become replacement characters."""
     return b"".join(pieces[i] for i in ids).decode("utf-8", "replace")
 
@@ -161,9 +165,10 @@ def token_ids(documents: DataFrame, vocabulary: str | None = None, id_col: str =
 def token_texts(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", out: str = "text") -> DataFrame:
     """``doc_id, text``: the texts of lists of token ids; null for a null list."""
     shipped(encoded.sparkSession)
-    pieces = _decoder(read_ranks(vocabulary or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"))
+    model = model_bytes(read_ranks(vocabulary or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = piece_bytes(model)
         for batch in batches:
             texts = [None if ids is None else decode(ids, pieces) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, out])

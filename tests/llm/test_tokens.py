@@ -19,6 +19,11 @@ def ours():
     return tokens.Encoder(tokens.model_bytes(tokens.read_ranks(PATH)))
 
 
+@pytest.fixture(scope="module")
+def pieces():
+    return tokens.piece_bytes(tokens.model_bytes(tokens.read_ranks(PATH)))
+
+
 @pytest.fixture(scope="module")
 def library():
     import tiktoken
@@ -34,9 +39,8 @@ def test_ids_are_those_of_the_library(ours, library, text):
 
 @settings(max_examples=300, deadline=None)
 @given(text=st.text(st.characters(max_codepoint=0x2FFF, blacklist_categories=["Cs", "Cn"]), max_size=60))
-def test_random_texts(ours, library, text):
+def test_random_texts(ours, library, pieces, text):
     assert ours.encode(text) == library(text)
-    pieces = tokens._decoder(tokens.read_ranks(PATH))
     assert tokens.decode(ours.encode(text), pieces) == text
 
 
@@ -49,6 +53,12 @@ def test_long_text_and_full_cache(ours, library, monkeypatch):
     assert ours.encode(text) == want
 
 
+def test_pieces_invert_to_the_vocabulary():
+    ranks = tokens.read_ranks(PATH)
+    pieces = tokens.piece_bytes(tokens.model_bytes(ranks))
+    assert {t: i for i, t in enumerate(pieces) if t} == ranks
+
+
 def test_documents(spark, library):
     from .. import conftest
 
