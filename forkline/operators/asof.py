@@ -1,46 +1,69 @@
 """Attributes as known at an event's time: which version of an object a read sees.
 
-The plane has the lineage of log segments on one axis and the log position on the other. The changes of a path on a
-segment cut its position axis into disjoint regions, each with one current version: from a change's own position up to
-the next one. A read is a point on its branch's segment and, with the limits that the forks on the way impose, one on
-each ancestor; the regions are indexed by a grid, every point is located in it, and the segment nearest the branch
-decides.
+The plane has the tree of log segments on one axis, as positions of a preorder, and the log position on the other. A
+change is visible from its own position upward, on its segment and on all below that were forked late enough. Where
+siblings are laid out by falling fork position, those are one range of the preorder, so that a change is a quarter plane
+over a range, and what hides it (a later change of its segment, or one of a segment below) is a quarter plane within that
+range. Cut along those, the plane of a path falls into disjoint rectangles with one current version each, at most three
+for each change. They are indexed by a grid over both axes, and every read is located in it as a point.
+
+That needs fork positions that do not fall on the way down. A segment forked before its parent's own fork starts a block
+of its own, outside of which its readers see less than others; a read is then one point in its own block and one in each
+block above it, each with the limit that holds there, and the nearest block decides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forkline.operators import intervals
-from forkline.operators.ordering import with_next
+from forkline.operators.hierarchy import carried, subtree_sizes
+from forkline.operators.ordering import swept, with_last, with_next, with_sorted_offset
 from forkline.sources import dropped, written, written_counting
 
-#: Log positions of one block when versions of a path are put in order.
-LSN_BLOCK = 4096
+#: Log positions, or numbers of changes, of one block when they are put in order.
+BLOCK = 4096
+#: Log positions beyond count as this one.
+FAR = 1 << 60
 
 
-def lineage(nodes: DataFrame) -> DataFrame:
-    """``id, ancestor, depth, cap``: each segment with itself (depth 0) and all its ancestors.
+def _near(position: Column) -> Column:
+    return F.greatest(F.least(position, F.lit(FAR)), F.lit(-FAR))
 
-    ``cap`` is the lowest ``fork_lsn`` on the way, null where nothing limits. A parent that is null or not recorded in
-    the project ends the walk. On a circle the walk ends where it would meet a segment again: limits only fall, so a
-    second visit sees nothing new. Repeated rows count once; among several rows of one segment the smallest parent
-    counts. Each round doubles the distance, so the rounds are the logarithm of the depth, and every pair is made once.
+
+def segment_edges(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``id, ptr, fork``: each segment with its parent and the position it was forked at (no limit: the greatest).
+
+    A parent that is null or not recorded in the project is none. Repeated rows count once; among several rows of one
+    segment the smallest project, then parent counts. ``leaves`` (``id``) are there also where no row records them.
     """
-    once = nodes.filter("node_id IS NOT NULL").groupBy("project_id", "node_id").agg(F.min(F.struct("parent_node_id", "fork_lsn")).alias("up"))
-    once = once.select("project_id", F.col("node_id").alias("id"), F.col("up.parent_node_id").alias("parent"), F.col("up.fork_lsn").alias("cap"))
-    there = once.select(F.col("project_id").alias("p"), F.col("id").alias("ptr"))
-    known = F.col("project_id").eqNullSafe(F.col("p")) & (F.col("parent") == F.col("ptr"))
-    edges = written(once.join(there, known, "left").select("id", "ptr", F.when(F.col("ptr").isNotNull(), F.col("cap")).alias("cap")))
-    circling = _circling(edges)
-    if circling is None:
-        return _straight(edges)
-    return _straight(edges.join(circling, "id", "left_anti")).unionByName(_around(edges.join(circling, "id", "left_semi")))
+    row = F.struct("project_id", "parent_node_id", "fork_lsn")
+    real = nodes.filter("node_id IS NOT NULL").select(F.col("node_id").alias("id"), row.alias("up"))
+    once = real.unionByName(leaves.select("id", F.lit(None).cast(real.schema["up"].dataType).alias("up"))).groupBy("id").agg(F.min("up").alias("up"))
+    there = once.filter("up IS NOT NULL").select(F.col("up.project_id").alias("p"), F.col("id").alias("ptr"))
+    known = F.col("up.project_id").eqNullSafe(F.col("p")) & (F.col("up.parent_node_id") == F.col("ptr"))
+    return once.join(there, known, "left").select("id", "ptr", F.when(F.col("ptr").isNotNull(), _near(F.coalesce("up.fork_lsn", F.lit(FAR)))).alias("fork"))
+
+
+def _blocks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, ptr, fork, parent`` with the parent within the block, null for a block's first segment, and ``id, size``.
+
+    Links in a circle whose fork positions never fall are all cut.
+    """
+    above = edges.filter("ptr IS NOT NULL").select(F.col("id").alias("ptr"), F.col("fork").alias("above"))
+    kept = edges.join(above, "ptr", "left").select("id", "ptr", "fork", F.when(F.col("above").isNull() | (F.col("fork") >= F.col("above")), F.col("ptr")).alias("parent"))
+    kept = written(kept)
+    sizes, around = subtree_sizes(kept)
+    if around is not None:
+        cut = around.select("id", F.lit(True).alias("_cut"))
+        kept = kept.join(cut, "id", "left").withColumn("parent", F.when(F.col("_cut").isNull(), F.col("parent"))).drop("_cut")
+        sizes = sizes.join(cut, "id", "left").select("id", F.when(F.col("_cut").isNull(), F.col("size")).otherwise(1).alias("size"))
+    return kept, sizes
 
 
 def _circling(edges: DataFrame) -> DataFrame | None:
-    """The ``id`` of segments whose walk never ends, None if there are none: those left when a round ends no walk."""
+    """The ``id`` of members whose walk never ends, None if there are none: those left when a round ends no walk."""
     state, active = written_counting(edges.filter("ptr IS NOT NULL").select("id", "ptr"), F.lit(True))
     before = -1
     while active and active != before:
@@ -56,13 +79,13 @@ def _own(edges: DataFrame) -> DataFrame:
 
 
 def _further(hop: DataFrame, pairs: DataFrame, step: int) -> DataFrame:
-    """The pairs reached through ``hop`` (``id, ptr, hop_cap``: where each walk is after ``step`` segments)."""
+    """The pairs reached through ``hop`` (``id, ptr, hop_cap``: where each walk is after ``step`` links)."""
     onward = hop.join(pairs.withColumnRenamed("id", "ptr"), "ptr")
     return onward.select("id", "ancestor", (F.col("depth") + step).alias("depth"), F.least("hop_cap", "cap").alias("cap"))
 
 
 def _straight(edges: DataFrame) -> DataFrame:
-    """The lineage pairs of segments whose walks end."""
+    """The lineage pairs of members whose walks end."""
     up = edges.filter("ptr IS NOT NULL").select(F.col("id").alias("ancestor"), "ptr", F.col("cap").alias("more"))
     last = pairs = _own(edges)
     step = 1
@@ -75,7 +98,10 @@ def _straight(edges: DataFrame) -> DataFrame:
 
 
 def _around(edges: DataFrame) -> DataFrame:
-    """The lineage pairs of segments on circles or leading into them, each ancestor at its first visit."""
+    """The lineage pairs of members on circles or leading into them, each ancestor at its first visit.
+
+    Limits only fall on the way, so a second visit sees nothing new.
+    """
     state = edges.select("id", "ptr", F.col("cap").alias("hop_cap"))
     pairs, step, held, before = _own(edges), 1, 0, -1
     while held != before:
@@ -89,15 +115,94 @@ def _around(edges: DataFrame) -> DataFrame:
     return pairs
 
 
-def regions(mutations: DataFrame) -> DataFrame:
-    """``node_id, path, lsn, until, dead``: the disjoint position ranges of each path on each segment.
+def _lineage(edges: DataFrame) -> DataFrame:
+    """``id, ancestor, depth, cap`` over ``id, ptr, cap``: each member with itself (depth 0) and all its ancestors.
+
+    ``cap`` is the lowest on the way, null where nothing limits. Each round doubles the distance, so the rounds are the
+    logarithm of the depth, and every pair is made once.
+    """
+    circling = _circling(edges)
+    if circling is None:
+        return _straight(edges)
+    return _straight(edges.join(circling, "id", "left_anti")).unionByName(_around(edges.join(circling, "id", "left_semi")))
+
+
+def layout(nodes: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The axis of segments: ``places, reaches, hops``.
 
-    ``until`` is the next change's position, null for the last; ``dead`` marks tombstones. Deliveries of one change
-    count once; rows without path, segment or position take no part.
+    ``places`` is ``id, start, block``: a segment's position. ``reaches`` is ``id, lo, hi, reach``: a change of the
+    segment at a position from ``lo`` to before ``hi`` is visible on the positions ``start`` to ``start + reach`` of its
+    block. ``hops`` is ``block, hop, start, cap``: from a block the reader goes on at ``start``, in the order of ``hop``,
+    with a limit of ``cap``.
     """
+    edges = written(segment_edges(nodes, leaves))
+    kept, sizes = _blocks(edges)
+    sized = kept.join(sizes, "id").select("id", "ptr", "fork", "parent", "size")
+    placed = written(with_sorted_offset(sized, ["parent"], [F.when(F.col("parent").isNotNull(), -F.col("fork")), F.col("id")], "size"))
+    inner = placed.filter("parent IS NOT NULL")
+    down = placed.select("id", "parent", (F.col("offset") + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("offset"))
+    places = written(carried(down).select("id", "start", F.col("root").alias("block")))
+
+    # children of equal fork position reach equally far; those of the next lower one add to it
+    ends = inner.groupBy(F.col("parent").alias("id"), (-F.col("fork")).alias("above")).agg(F.max(F.col("offset") + F.col("size")).alias("reach"))
+    ends = with_next(ends, ["id"], "above", BLOCK, "below")
+    some = ends.select("id", F.coalesce(1 - F.col("below"), F.lit(-FAR)).alias("lo"), (1 - F.col("above")).alias("hi"), "reach")
+    open_end = F.lit(None).cast("bigint").alias("hi")
+    top = placed.join(ends.groupBy("id").agg(F.min("above").alias("above")), "id", "left").select("id", F.coalesce(1 - F.col("above"), F.lit(-FAR)).alias("lo"), open_end, F.lit(0).cast("bigint").alias("reach"))
+    reaches = written(some.unionByName(top))
+
+    outer = placed.filter("parent IS NULL").join(places.select(F.col("id").alias("ptr"), F.col("start").alias("entry"), F.col("block").alias("onto")), "ptr", "left")
+    outer = written(outer.select("id", F.col("onto").alias("ptr"), F.col("fork").alias("cap"), "entry"))
+    leaving = outer.filter("ptr IS NOT NULL").select(F.col("id").alias("ancestor"), "entry", F.col("cap").alias("last"))
+    walks = _lineage(outer.select("id", "ptr", "cap")).join(leaving, "ancestor")
+    hops = walks.select(F.col("id").alias("block"), (F.col("depth") + 1).alias("hop"), F.col("entry").alias("start"), F.least("cap", "last").alias("cap"))
+    return places, reaches, written(hops)
+
+
+def changes(mutations: DataFrame) -> DataFrame:
+    """``id, path, lsn, dead``: each change once; ``dead`` marks tombstones. Rows without path, segment or position take no part."""
     rows = mutations.filter("node_id IS NOT NULL AND path IS NOT NULL AND lsn IS NOT NULL")
-    once = rows.groupBy("node_id", "path", "lsn").agg(F.max(F.coalesce("tombstone", F.lit(False)).cast("int")).alias("dead"))
-    return with_next(once, ["node_id", "path"], "lsn", LSN_BLOCK, "until")
+    return rows.groupBy(F.col("node_id").alias("id"), "path", "lsn").agg(F.max(F.coalesce("tombstone", F.lit(False)).cast("int")).alias("dead"))
+
+
+def sheets(mutations: DataFrame, places: DataFrame, reaches: DataFrame) -> DataFrame:
+    """``path, lo, hi, lsn, dead``: each change with the range of positions it is visible on, itself from ``lsn`` upward."""
+    levels = reaches.groupBy("id").agg(intervals.levels_in_use(reaches, "lo", "hi").alias("bits"))
+    known = written(places.join(levels, "id").select("id", "start", "bits"))
+    at = changes(mutations).join(known, "id").withColumn("at", _near(F.col("lsn")))
+    met = intervals.probes(at, "at", "bits").join(intervals.filed(reaches, "lo", "hi"), ["id", "level", "cell"])
+    met = met.filter((F.col("lo") <= F.col("at")) & (F.col("hi").isNull() | (F.col("at") < F.col("hi"))))
+    return met.select("path", F.col("start").alias("lo"), (F.col("start") + 1 + F.col("reach")).alias("hi"), "lsn", "dead")
+
+
+def rectangles(sheets: DataFrame) -> DataFrame:
+    """``path, x0, x1, y0, y1, v``: disjoint rectangles, each with the version current there (``v``: lo, lsn, dead of its sheet).
+
+    Ranges of one path lie within each other or apart. Sorted like brackets, each has the one around it as the last
+    opened before it one level up; over a range the outer version holds from its position up to the inner one's, and
+    between the brackets the innermost holds without end. Where a change lies at or below the fork of its own segment,
+    rectangles of outer segments may overlap its own; there the one with the greatest ``v`` holds.
+    """
+    events = sheets.withColumn("opens", F.explode(F.array(F.lit(0), F.lit(1))))
+    opens = F.col("opens") == 1
+    pos = F.when(opens, F.col("lo")).otherwise(F.col("hi"))
+    # at one position those that end come first, inner ones before outer ones, then those that begin, outer ones first
+    order = [F.col("path"), pos, F.col("opens"), -F.when(opens, F.col("hi")).otherwise(F.col("lo")), F.when(opens, F.col("lsn")).otherwise(-F.col("lsn"))]
+    run = swept(events, order, F.when(opens, 1).otherwise(-1), F.struct("path", pos.alias("pos")), "g", "level", "following")
+    own_level = F.when(opens, F.col("level")).otherwise(F.col("level") + 1)
+    next_pos = F.when(F.col("following.path") == F.col("path"), F.col("following.pos"))
+    version = F.struct("lo", "lsn", "dead")
+    run = run.select("path", "opens", "lo", "hi", "lsn", "dead", "g", own_level.alias("level"), next_pos.alias("next_pos"))
+    # each event asks for the last bracket opened one level up, and is asked for one level down if it opens one
+    asks = run.withColumn("key", F.col("level") - 1).withColumn("given", F.lit(None).cast("struct<lo:bigint,lsn:bigint,dead:int>"))
+    offers = run.filter("opens = 1").withColumn("key", F.col("level")).withColumn("given", version)
+    both = asks.unionByName(offers.select(asks.columns))
+    filled = with_last(both, ["key"], "g", BLOCK, "given", "around").filter("given IS NULL").drop("given")
+    none = F.lit(None).cast("bigint")
+    under = F.when(opens & (F.col("around.lsn") < F.col("lsn")), F.struct(F.col("lo").alias("x0"), F.col("hi").alias("x1"), F.col("around.lsn").alias("y0"), F.col("lsn").alias("y1"), F.col("around").alias("v")))
+    inner = F.when(opens, version).otherwise(F.col("around"))
+    beside = F.when((F.col("next_pos") > pos) & inner.isNotNull(), F.struct(pos.alias("x0"), F.col("next_pos").alias("x1"), inner["lsn"].alias("y0"), none.alias("y1"), inner.alias("v")))
+    return filled.select("path", F.explode(F.array_compact(F.array(under, beside))).alias("r")).select("path", "r.*")
 
 
 def visible_versions(requests: DataFrame, handles: DataFrame, nodes: DataFrame, mutations: DataFrame) -> DataFrame:
@@ -106,21 +211,26 @@ def visible_versions(requests: DataFrame, handles: DataFrame, nodes: DataFrame,
     The walk starts at the segment of the branch's current handle (highest ``commit_seq``) with the limit ``at_lsn``
     (null: none); towards a parent the limit becomes the lower of itself and ``fork_lsn``. The first segment with a
     change of the path at or below the limit decides by its newest such change; a tombstone means not found. A request
-    sent again counts once. Requests of unknown branches or paths, or without a path, find nothing.
+    sent again counts once. Requests of unknown branches or paths, or without a path, find nothing. Log positions beyond
+    2**60 count as that one.
     """
-    current = handles.filter("branch_id IS NOT NULL AND node_id IS NOT NULL").groupBy("project_id", "branch_id").agg(F.max_by("node_id", "commit_seq").alias("leaf"))
+    current = handles.filter("branch_id IS NOT NULL AND node_id IS NOT NULL").groupBy("project_id", "branch_id").agg(F.max_by("node_id", "commit_seq").alias("id"))
+    current = written(current)
+    places, reaches, hops = layout(nodes, current.select("id").distinct())
     asked = requests.filter("path IS NOT NULL").groupBy("request_id", "project_id", "branch_id", "path", "at_lsn").agg(F.lit(1).alias("_one"))
     # one-row-per-key sides are written: over a grouping's own partitions Spark would not split a hot branch or path
-    asked = asked.join(written(current), ["project_id", "branch_id"]).select("request_id", "leaf", "path", "at_lsn")
-    chain = lineage(nodes).withColumnRenamed("id", "leaf")
-    points = asked.join(chain, "leaf", "left").select(
-        "request_id", F.coalesce("ancestor", "leaf").alias("node_id"), "path", F.coalesce("depth", F.lit(0)).alias("depth"),
-        F.coalesce(F.least("at_lsn", "cap"), F.lit(2**63 - 1)).alias("at"),
-    )
-    cut = written(regions(mutations))
-    known = cut.groupBy("node_id", "path").agg(F.min("lsn").alias("first"), intervals.levels_in_use(cut, "lsn", "until").alias("bits"))
-    near = points.join(written(known), ["node_id", "path"]).filter(F.col("at") >= F.col("first")).drop("first")
-    met = intervals.probes(near, "at", "bits").join(intervals.filed(cut, "lsn", "until"), ["node_id", "path", "level", "cell"])
-    met = met.filter((F.col("lsn") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
-    best = met.groupBy("request_id").agg(F.min(F.struct("depth", "node_id", "lsn", "dead")).alias("v"))
-    return best.filter("v.dead = 0").select("request_id", "v.node_id", "v.lsn")
+    leaf = written(current.join(places, "id").select("project_id", "branch_id", "start", "block"))
+    first = asked.join(leaf, ["project_id", "branch_id"]).select("request_id", "path", "block", "start", _near(F.coalesce("at_lsn", F.lit(FAR))).alias("at"))
+    first = written(first)
+    onward = first.drop("start").join(hops, "block").select("request_id", "path", "hop", "start", F.least("at", "cap").alias("at"))
+    points = first.select("request_id", "path", F.lit(0).cast("bigint").alias("hop"), "start", "at").unionByName(onward)
+    tiles = written(rectangles(written(sheets(mutations, places, reaches))))
+    filed = intervals.filed(intervals.filed(tiles, "x0", "x1", "x"), "y0", "y1", "y")
+    known = filed.groupBy("path").agg(F.collect_set(F.struct("x_level", "y_level")).alias("levels"))
+    probes = points.join(written(known), "path").select("*", F.explode("levels").alias("l")).select("request_id", "path", "hop", "start", "at", "l.*")
+    probes = intervals.looked_up(intervals.looked_up(probes, "start", "x"), "at", "y")
+    met = probes.join(filed, ["path", "x_level", "x_cell", "y_level", "y_cell"])
+    met = met.filter((F.col("x0") <= F.col("start")) & (F.col("start") < F.col("x1")) & (F.col("y0") <= F.col("at")) & (F.col("y1").isNull() | (F.col("at") < F.col("y1"))))
+    best = met.groupBy("request_id").agg(F.min(F.struct("hop", (-F.col("v.lo")).alias("lo"), (-F.col("v.lsn")).alias("lsn"), "v.dead")).alias("v"))
+    segment = places.select((-F.col("start")).alias("lo"), F.col("id").alias("node_id"))
+    return best.filter("v.dead = 0").select("request_id", "v.lo", (-F.col("v.lsn")).alias("lsn")).join(segment, "lo").select("request_id", "node_id", "lsn")

@@ -43,7 +43,7 @@ def _numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, written(members.join(up, [*PLACE, "parent_key"], "left").select("id", "parent"))
 
 
-def _sizes(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def subtree_sizes(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``id, size`` by the upward pass, final for members of trees, and the ``id`` of all others, None if there are none.
 
     Round k passes up the size within distance 2**k of every member that has an ancestor that far; others drop out, so a
@@ -65,7 +65,7 @@ def _sizes(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return written(sizes), state.select("id") if active else None
 
 
-def _carried(edges: DataFrame, names: DataFrame | None) -> DataFrame:
+def carried(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """``id, start, depth, root[, path]`` by the downward pass over ``id, parent, offset``."""
     state = edges.select("id", F.col("parent").alias("ptr"), F.col("offset").alias("start"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.coalesce("parent", "id").alias("root"))
     if names is not None:
@@ -119,16 +119,16 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     """
     members, edges = _numbered(links)
     n = members.count()
-    sizes, others = _sizes(edges)
+    sizes, others = subtree_sizes(edges)
     trees = edges.join(others, "id", "left_anti") if others is not None else edges
     trees = trees.join(sizes, "id").select("id", "parent", F.coalesce("parent", F.lit(-1)).alias("above"), "size")
     placed = with_offset(trees, ["above"], "id", "size", max(1, -(-n // SIBLING_BLOCK)))
     placed = placed.select("id", "parent", (F.col("offset") + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("offset"))
     names = members.select("id", F.concat(F.lit("/"), "member_key").alias("path")) if paths else None
-    carried = _carried(placed, names)
+    down = carried(placed, names)
     roots = members.select(F.col("id").alias("root"), F.col("member_key").alias("root_key"))
     extra = ["path"] if paths else []
-    out = carried.join(sizes, "id").join(roots, "root").select("id", "root_key", "depth", "start", "size", *extra)
+    out = down.join(sizes, "id").join(roots, "root").select("id", "root_key", "depth", "start", "size", *extra)
     if others is not None:
         stuck = edges.join(others, "id", "left_semi")
         nothing = F.lit(None).cast("bigint")

@@ -27,15 +27,29 @@ def _level(length: Column) -> Column:
     return found
 
 
-def filed(intervals: DataFrame, lo: str, hi: str) -> DataFrame:
-    """The intervals with ``level`` and ``cell``, in one or two rows each; empty intervals (hi <= lo) are left out."""
+def _names(axis: str) -> tuple[str, str]:
+    return (f"{axis}_level", f"{axis}_cell") if axis else ("level", "cell")
+
+
+def filed(intervals: DataFrame, lo: str, hi: str, axis: str = "") -> DataFrame:
+    """The intervals with ``level`` and ``cell``, in one or two rows each; empty intervals (hi <= lo) are left out.
+
+    With a name for the axis the columns are ``<axis>_level`` and ``<axis>_cell``, so that rectangles can be filed by two.
+    """
+    to_level, to_cell = _names(axis)
     leveled = intervals.filter(F.col(lo).isNotNull() & (F.col(hi).isNull() | (F.col(hi) > F.col(lo))))
     level = F.when(F.col(hi).isNull(), F.lit(OPEN)).otherwise(_level(F.col(hi) - F.col(lo)))
-    leveled = leveled.withColumn("level", level.cast("int"))
-    first = F.floor(F.col(lo) / _width(F.col("level")))
-    last = F.floor((F.col(hi) - 1) / _width(F.col("level")))
-    cells = F.when(F.col("level") == OPEN, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(first, last))
-    return leveled.withColumn("cell", F.explode(cells))
+    leveled = leveled.withColumn(to_level, level.cast("int"))
+    first = F.floor(F.col(lo) / _width(F.col(to_level)))
+    last = F.floor((F.col(hi) - 1) / _width(F.col(to_level)))
+    cells = F.when(F.col(to_level) == OPEN, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(first, last))
+    return leveled.withColumn(to_cell, F.explode(cells))
+
+
+def looked_up(points: DataFrame, at: str, axis: str = "") -> DataFrame:
+    """The points with the ``cell`` that holds them at the level they have."""
+    level, cell = _names(axis)
+    return points.withColumn(cell, F.when(F.col(level) == OPEN, F.lit(0).cast("bigint")).otherwise(F.floor(F.col(at) / _width(F.col(level)))))
 
 
 def levels_in_use(intervals: DataFrame, lo: str, hi: str) -> Column:
@@ -48,6 +62,4 @@ def probes(points: DataFrame, at: str, levels: str) -> DataFrame:
     """The points with ``level`` and ``cell``, one row per level set in the bits of column ``levels``."""
     every = F.array(*[F.lit(k) for k in range(LEVELS + 1)])
     used = F.filter(every, lambda k: F.getbit(F.col(levels), k) == 1)
-    spread = points.withColumn("level", F.explode(used))
-    cell = F.when(F.col("level") == OPEN, F.lit(0).cast("bigint")).otherwise(F.floor(F.col(at) / _width(F.col("level"))))
-    return spread.withColumn("cell", cell)
+    return looked_up(points.withColumn("level", F.explode(used)), at)

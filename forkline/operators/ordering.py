@@ -62,9 +62,60 @@ def newest(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in df.columns if c not in keys])
 
 
-def flag(cond: Column) -> Column:
-    """1 where ``cond`` holds, else 0 (also for null)."""
-    return F.when(cond, F.lit(1)).otherwise(F.lit(0))
+def with_last(df: DataFrame, keys: list[str], order: str, block: int, value: str, out: str) -> DataFrame:
+    """Add ``out``: the ``value`` of the last earlier row of the same keys that has one; null if none has.
+
+    ``order`` is a non-null integer column, unique within its keys; a window group holds one block of it at most.
+    """
+    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    before = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    tails = blocked.filter(F.col(value).isNotNull()).groupBy(*keys, "_block").agg(F.max(F.struct(order, value)).alias("_tail"))
+    # every block that asks needs the tail of a block before it, so both kinds of blocks are put in order together
+    asking = blocked.groupBy(*keys, "_block").agg(F.lit(1).alias("_one")).join(tails, [*keys, "_block"], "left")
+    earlier = F.last(f"_tail.{value}", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    asking = asking.select(*keys, "_block", earlier.alias("_earlier"))
+    inner = blocked.withColumn("_inner", F.last(value, ignorenulls=True).over(before))
+    return inner.join(asking, [*keys, "_block"]).select(*df.columns, F.coalesce("_inner", "_earlier").alias(out))
+
+
+def swept(df: DataFrame, order: list[Column], step: Column, at: Column, number: str, level: str, following: str) -> DataFrame:
+    """All rows put in one order: add their ``number`` in it, the running sum of ``step`` (``level``), and the next row's ``at``.
+
+    Rows are range-partitioned by ``order`` (its first columns are those of ``at``) and written; only a count, a sum and
+    the first ``at`` of each partition go to the driver, and no task sorts more than its range.
+    """
+    spark = df.sparkSession
+    parts = spark.sparkContext.defaultParallelism * 2
+    placed = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum(step.cast("bigint")).alias("s"), F.min(at).alias("first"))
+    rows, n, s = [], 0, 0
+    found = sorted(sums.collect(), key=lambda r: r["_part"])
+    for r, after in zip(found, [*found[1:], None]):
+        rows.append((r["_part"], n, s, None if after is None else after["first"]))
+        n, s = n + r["n"], s + r["s"]
+    kind = next(f.dataType for f in sums.schema if f.name == "first").simpleString()
+    bases = F.broadcast(spark.createDataFrame(rows, f"_part int, _n bigint, _s bigint, _next {kind}"))
+    w = W.partitionBy("_part").orderBy(*order)
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = placed.withColumns({number: F.row_number().over(w), level: F.sum(step.cast("bigint")).over(upto), following: F.lead(at).over(w)})
+    return run.join(bases, "_part").select(
+        *df.columns, (F.col(number) + F.col("_n")).alias(number), (F.col(level) + F.col("_s")).alias(level), F.coalesce(following, "_next").alias(following)
+    )
+
+
+def with_sorted_offset(df: DataFrame, group: list[str], order: list[Column], weight: str, out: str = "offset") -> DataFrame:
+    """Add ``out``: the sum of ``weight`` over the rows before this one in its group, by ``order`` (unique in the group).
+
+    Sums run over all rows, sorted by group and order, whatever the size of a group; what comes before a group is taken
+    off. Null is a group of its own.
+    """
+    run = swept(df, [*[F.col(g) for g in group], *order], F.col(weight), F.lit(0), "_number", "_upto", "_following")
+    run = written(run.withColumn("_before", F.col("_upto") - F.col(weight)).select(*df.columns, "_before")).alias("r")
+    first = run.groupBy(*group).agg(F.min("_before").alias("_first")).alias("f")
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(f"r.{g}").eqNullSafe(F.col(f"f.{g}"))
+    return run.join(first, same).select(*[F.col(f"r.{c}") for c in df.columns], (F.col("r._before") - F.col("f._first")).alias(out))
 
 
 def ranked(df: DataFrame, keys: list[str], order: str, block: int, out: str = "rank") -> DataFrame:
