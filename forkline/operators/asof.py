@@ -194,9 +194,9 @@ def rectangles(sheets: DataFrame) -> DataFrame:
     version = F.struct("lo", "lsn", "dead")
     run = run.select("path", "opens", "lo", "hi", "lsn", "dead", "g", own_level.alias("level"), next_pos.alias("next_pos"))
     # each event asks for the last bracket opened one level up, and is asked for one level down if it opens one
-    asks = run.withColumn("key", F.col("level") - 1).withColumn("given", F.lit(None).cast("struct<lo:bigint,lsn:bigint,dead:int>"))
-    offers = run.filter("opens = 1").withColumn("key", F.col("level")).withColumn("given", version)
-    both = asks.unionByName(offers.select(asks.columns))
+    role = F.struct((F.col("level") - 1).alias("key"), F.lit(None).cast("struct<lo:bigint,lsn:bigint,dead:int>").alias("given"))
+    offer = F.when(opens, F.struct(F.col("level").alias("key"), version.alias("given")))
+    both = run.select("*", F.explode(F.array_compact(F.array(role, offer))).alias("r")).select("*", "r.*").drop("r", "level")
     filled = with_last(both, ["key"], "g", BLOCK, "given", "around").filter("given IS NULL").drop("given")
     none = F.lit(None).cast("bigint")
     under = F.when(opens & (F.col("around.lsn") < F.col("lsn")), F.struct(F.col("lo").alias("x0"), F.col("hi").alias("x1"), F.col("around.lsn").alias("y0"), F.col("lsn").alias("y1"), F.col("around").alias("v")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from forkline.sources import written
+from forkline.sources import dropped, written
 
 
 def with_next(df: DataFrame, keys: list[str], order: str, block: int, out: str = "next_value") -> DataFrame:
@@ -69,20 +69,18 @@ def with_last(df: DataFrame, keys: list[str], order: str, block: int, value: str
     """
     blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
     before = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    tails = blocked.filter(F.col(value).isNotNull()).groupBy(*keys, "_block").agg(F.max(F.struct(order, value)).alias("_tail"))
-    # every block that asks needs the tail of a block before it, so both kinds of blocks are put in order together
-    asking = blocked.groupBy(*keys, "_block").agg(F.lit(1).alias("_one")).join(tails, [*keys, "_block"], "left")
+    heads = blocked.groupBy(*keys, "_block").agg(F.max(F.when(F.col(value).isNotNull(), F.struct(order, value))).alias("_tail"))
     earlier = F.last(f"_tail.{value}", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
-    asking = asking.select(*keys, "_block", earlier.alias("_earlier"))
+    heads = heads.select(*keys, "_block", earlier.alias("_earlier"))
     inner = blocked.withColumn("_inner", F.last(value, ignorenulls=True).over(before))
-    return inner.join(asking, [*keys, "_block"]).select(*df.columns, F.coalesce("_inner", "_earlier").alias(out))
+    return inner.join(heads, [*keys, "_block"]).select(*df.columns, F.coalesce("_inner", "_earlier").alias(out))
 
 
 def swept(df: DataFrame, order: list[Column], step: Column, at: Column, number: str, level: str, following: str) -> DataFrame:
     """All rows put in one order: add their ``number`` in it, the running sum of ``step`` (``level``), and the next row's ``at``.
 
     Rows are range-partitioned by ``order`` (its first columns are those of ``at``) and written; only a count, a sum and
-    the first ``at`` of each partition go to the driver, and no task sorts more than its range.
+    the first ``at`` of each partition go to the driver, and no task sorts more than its range. The result is written.
     """
     spark = df.sparkSession
     parts = spark.sparkContext.defaultParallelism * 2
@@ -98,9 +96,13 @@ def swept(df: DataFrame, order: list[Column], step: Column, at: Column, number:
     w = W.partitionBy("_part").orderBy(*order)
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     run = placed.withColumns({number: F.row_number().over(w), level: F.sum(step.cast("bigint")).over(upto), following: F.lead(at).over(w)})
-    return run.join(bases, "_part").select(
-        *df.columns, (F.col(number) + F.col("_n")).alias(number), (F.col(level) + F.col("_s")).alias(level), F.coalesce(following, "_next").alias(following)
+    out = written(
+        run.join(bases, "_part").select(
+            *df.columns, (F.col(number) + F.col("_n")).alias(number), (F.col(level) + F.col("_s")).alias(level), F.coalesce(following, "_next").alias(following)
+        )
     )
+    dropped(placed)
+    return out
 
 
 def with_sorted_offset(df: DataFrame, group: list[str], order: list[Column], weight: str, out: str = "offset") -> DataFrame:
@@ -110,7 +112,7 @@ def with_sorted_offset(df: DataFrame, group: list[str], order: list[Column], wei
     off. Null is a group of its own.
     """
     run = swept(df, [*[F.col(g) for g in group], *order], F.col(weight), F.lit(0), "_number", "_upto", "_following")
-    run = written(run.withColumn("_before", F.col("_upto") - F.col(weight)).select(*df.columns, "_before")).alias("r")
+    run = run.withColumn("_before", F.col("_upto") - F.col(weight)).alias("r")
     first = run.groupBy(*group).agg(F.min("_before").alias("_first")).alias("f")
     same = F.lit(True)
     for g in group:
