@@ -138,7 +138,7 @@ def layout(nodes: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame, D
     edges = written(segment_edges(nodes, leaves))
     kept, sizes = _blocks(edges)
     sized = kept.join(sizes, "id").select("id", "ptr", "fork", "parent", "size")
-    placed = written(with_sorted_offset(sized, ["parent"], [F.when(F.col("parent").isNotNull(), -F.col("fork")), F.col("id")], "size"))
+    placed = written(with_sorted_offset(sized, ["parent"], [F.when(F.col("parent").isNotNull(), -F.col("fork")), F.col("id")], "size", rows=edges.count()))
     inner = placed.filter("parent IS NOT NULL")
     down = placed.select("id", "parent", (F.col("offset") + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("offset"))
     places = written(carried(down).select("id", "start", F.col("root").alias("block")))
@@ -188,7 +188,7 @@ def rectangles(sheets: DataFrame) -> DataFrame:
     pos = F.when(opens, F.col("lo")).otherwise(F.col("hi"))
     # at one position those that end come first, inner ones before outer ones, then those that begin, outer ones first
     order = [F.col("path"), pos, F.col("opens"), -F.when(opens, F.col("hi")).otherwise(F.col("lo")), F.when(opens, F.col("lsn")).otherwise(-F.col("lsn"))]
-    run = swept(events, order, F.when(opens, 1).otherwise(-1), F.struct("path", pos.alias("pos")), "g", "level", "following")
+    run = swept(events, order, F.when(opens, 1).otherwise(-1), F.struct("path", pos.alias("pos")), "g", "level", "following", 2 * sheets.count())
     own_level = F.when(opens, F.col("level")).otherwise(F.col("level") + 1)
     next_pos = F.when(F.col("following.path") == F.col("path"), F.col("following.pos"))
     version = F.struct("lo", "lsn", "dead")
@@ -224,7 +224,9 @@ def visible_versions(requests: DataFrame, handles: DataFrame, nodes: DataFrame,
     first = written(first)
     onward = first.drop("start").join(hops, "block").select("request_id", "path", "hop", "start", F.least("at", "cap").alias("at"))
     points = first.select("request_id", "path", F.lit(0).cast("bigint").alias("hop"), "start", "at").unionByName(onward)
-    tiles = written(rectangles(written(sheets(mutations, places, reaches))))
+    laid = written(sheets(mutations, places, reaches))
+    tiles = written(rectangles(laid))
+    dropped(laid)
     filed = intervals.filed(intervals.filed(tiles, "x0", "x1", "x"), "y0", "y1", "y")
     known = filed.groupBy("path").agg(F.collect_set(F.struct("x_level", "y_level")).alias("levels"))
     probes = points.join(written(known), "path").select("*", F.explode("levels").alias("l")).select("request_id", "path", "hop", "start", "at", "l.*")

@@ -6,7 +6,7 @@ value first, so that a group holding a large share of all rows is spread over ma
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -76,15 +76,24 @@ def with_last(df: DataFrame, keys: list[str], order: str, block: int, value: str
     return inner.join(heads, [*keys, "_block"]).select(*df.columns, F.coalesce("_inner", "_earlier").alias(out))
 
 
-def swept(df: DataFrame, order: list[Column], step: Column, at: Column, number: str, level: str, following: str) -> DataFrame:
+#: Rows of one range when all rows are put in one order.
+RANGE_ROWS = 1_000_000
+
+
+def ranges_of(spark: SparkSession, rows: int) -> int:
+    """How many ranges so many rows are cut into: enough for all cores, and no range above a bound."""
+    return max(spark.sparkContext.defaultParallelism * 2, -(-rows // RANGE_ROWS))
+
+
+def swept(df: DataFrame, order: list[Column], step: Column, at: Column, number: str, level: str, following: str, rows: int = 0) -> DataFrame:
     """All rows put in one order: add their ``number`` in it, the running sum of ``step`` (``level``), and the next row's ``at``.
 
     Rows are range-partitioned by ``order`` (its first columns are those of ``at``) and written; only a count, a sum and
-    the first ``at`` of each partition go to the driver, and no task sorts more than its range. The result is written.
+    the first ``at`` of each partition go to the driver, and no task sorts more than its range. The result is
+    written. ``rows`` is about how many there are, where that is known to be many.
     """
     spark = df.sparkSession
-    parts = spark.sparkContext.defaultParallelism * 2
-    placed = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    placed = written(df.repartitionByRange(ranges_of(spark, rows), *order).withColumn("_part", F.spark_partition_id()))
     sums = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum(step.cast("bigint")).alias("s"), F.min(at).alias("first"))
     rows, n, s = [], 0, 0
     found = sorted(sums.collect(), key=lambda r: r["_part"])
@@ -105,13 +114,13 @@ def swept(df: DataFrame, order: list[Column], step: Column, at: Column, number:
     return out
 
 
-def with_sorted_offset(df: DataFrame, group: list[str], order: list[Column], weight: str, out: str = "offset") -> DataFrame:
+def with_sorted_offset(df: DataFrame, group: list[str], order: list[Column], weight: str, out: str = "offset", rows: int = 0) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows before this one in its group, by ``order`` (unique in the group).
 
     Sums run over all rows, sorted by group and order, whatever the size of a group; what comes before a group is taken
     off. Null is a group of its own.
     """
-    run = swept(df, [*[F.col(g) for g in group], *order], F.col(weight), F.lit(0), "_number", "_upto", "_following")
+    run = swept(df, [*[F.col(g) for g in group], *order], F.col(weight), F.lit(0), "_number", "_upto", "_following", rows)
     run = run.withColumn("_before", F.col("_upto") - F.col(weight)).alias("r")
     first = run.groupBy(*group).agg(F.min("_before").alias("_first")).alias("f")
     same = F.lit(True)
