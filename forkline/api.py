@@ -10,10 +10,11 @@ from __future__ import annotations
 import secrets
 import string
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any, TypeVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from forkline import chunking, lineage, resolve
@@ -23,6 +24,7 @@ from forkline.errors import (
     ObjectNotFound, ProjectAlreadyExists, ProjectNotFound, SnapshotNotFound,
 )
 from forkline.operators.ordering import numbered
+from forkline.sources import tidy, written
 from forkline.schema import (
     CHUNKS, DEFAULT_CONTENT_TYPE, HANDLES, MAX_PAGE, MUTATIONS, NODES, OBJECT_PAGE, PAGE, PROJECTS, SNAPSHOTS, BranchInfo, ObjectEntry,
     ObjectMeta, Page, Project, PutResult, Snapshot,
@@ -33,6 +35,9 @@ _SHAPES = ("amber", "brisk", "calm", "deep", "even", "fair", "grand", "keen")
 _THINGS = ("arch", "brook", "cliff", "dune", "field", "gate", "hill", "isle")
 #: How often a lost race is run again before it is a Conflict.
 RETRIES = 20
+#: Bytes of chunks that one file has after a compaction, about.
+CHUNK_FILE = 1 << 30
+BAD_PATH = "paths must not be null or hold NUL"
 
 
 def _now() -> int:
@@ -69,9 +74,9 @@ class Engine:
                 return result
             try:
                 self.log.publish(seq, actions)
-                return result
             except Conflict:
                 continue
+            return result
         raise Conflict("too many other commits")
 
     def _project(self, state: State, project: str) -> dict:
@@ -212,24 +217,36 @@ class Engine:
     def merge(self, project: str, source: str) -> tuple[BranchInfo, int]:
         """Append the newest change per path of the source's own segment to its parent, numbered in path order.
 
-        A commit of others between reading and publishing is a Conflict.
+        Another change of the source or the target branch between reading and publishing is a Conflict; commits to
+        other branches are none.
         """
+
+        def view(state: State):
+            """What a merge depends on."""
+            self._project(state, project)
+            handle, _ = self._branch(state, project, source)
+            if handle["parent_branch_id"] is None:
+                raise BranchIsRoot(source)
+            if self._children(state, project, source):
+                raise BranchHasChildren(source)
+            target, _ = self._branch(state, project, handle["parent_branch_id"])
+            return handle, target, self._head(state, handle), self._head(state, target)
+
         state = self.log.refresh()
-        seq = state.seq
-        self._project(state, project)
-        handle, node = self._branch(state, project, source)
-        if handle["parent_branch_id"] is None:
-            raise BranchIsRoot(source)
-        if self._children(state, project, source):
-            raise BranchHasChildren(source)
-        target, target_node = self._branch(state, project, handle["parent_branch_id"])
-        records = resolve.merge_records(self._log_of(state, [(node["node_id"], lineage.NO_CAP)]), node["node_id"])
-        first = self._head(state, target) + 1
-        rows, n = numbered(records.drop("lsn"), [F.col("path")], first, "lsn")
+        seen = view(state)
+        handle, target, _, head = seen
+        records = resolve.merge_records(self._log_of(state, [(handle["node_id"], lineage.NO_CAP)]), handle["node_id"])
+        rows, n = numbered(records.drop("lsn"), [F.col("path")], head + 1, "lsn")
         if n == 0:
             return self._info(state, target), 0
-        actions = self._appended(rows, project, target_node["node_id"], first, first + n - 1)
-        self.log.publish(seq, actions)
+        actions = self._appended(rows, project, target["node_id"], head + 1, head + n)
+
+        def step(now: State):
+            if view(now) != seen:
+                raise Conflict("the branches changed during the merge")
+            return actions, None
+
+        self._retried(step)
         return self._info(self.log.state, self.log.state.handles[project, target["branch_id"]]), n
 
     def delete_branch(self, project: str, branch: str) -> None:
@@ -296,8 +313,22 @@ class Engine:
             return self.spark.createDataFrame([], MUTATIONS)
         return self.spark.read.schema(MUTATIONS).parquet(*paths)
 
-    def _stored(self, state: State) -> DataFrame | None:
-        return self.spark.read.schema(CHUNKS).parquet(*state.chunks) if state.chunks else None
+    def _stored(self, state: State, hashes: Iterable[bytes] | None = None) -> DataFrame | None:
+        """The stored chunks; of given hashes only the folders of their prefixes are opened."""
+        wanted = {h.hex()[0] for h in hashes} if hashes is not None else set("0123456789abcdef")
+        paths = [f"{c['path']}/prefix={x}" for c in state.chunks for x in c["prefixes"] if x in wanted]
+        return self.spark.read.schema(CHUNKS).parquet(*paths) if paths else None
+
+    def _kept(self, chunks: DataFrame) -> list[dict]:
+        """Chunks written by prefix, sorted by hash and with a filter by which a look-up skips most of the files; named for a commit."""
+        folder = self.log.new_folder("chunks")
+        out = chunks.select(*[F.col(f.name).cast(f.dataType) for f in CHUNKS], chunking.prefix_of(F.col("hash")).alias("prefix"))
+        seen = Observation()
+        counted = out.observe(seen, *[F.count(F.when(F.col("prefix") == x, 1)).alias(x) for x in "0123456789abcdef"])
+        writer = counted.sortWithinPartitions("prefix", "hash").write.partitionBy("prefix").option("compression", "zstd")
+        writer.option("parquet.bloom.filter.enabled#hash", "true").option("parquet.bloom.filter.expected.ndv#hash", "100000").parquet(folder)
+        prefixes = "".join(x for x, n in seen.get.items() if n)
+        return [{"path": folder, "prefixes": prefixes}] if prefixes else []
 
     def _appended(self, rows: DataFrame, project: str, node_id: int, first: int, last: int) -> dict[str, Any]:
         """Write changes of one segment, sorted by path, and name them for a commit."""
@@ -307,47 +338,79 @@ class Engine:
         out.sortWithinPartitions("path", F.col("lsn").desc()).write.option("compression", "zstd").parquet(folder)
         return {"logs": [{"node_id": node_id, "path": folder, "min_lsn": first, "max_lsn": last, "rows": last - first + 1}]}
 
-    def _write(self, project: str, branch: str, rows: DataFrame, order: list[Column], chunks: list[str]) -> tuple[int, int]:
-        """Number and append changes to a branch; the numbers are taken anew if another commit comes first."""
+    def _write(self, project: str, branch: str, rows: DataFrame, order: list[Column], chunks: list[dict] = (), cleanings: int | None = None, batch: dict[str, int] | None = None) -> tuple[int, int]:
+        """Number and append changes to a branch; the numbers are taken anew if another commit comes first.
+
+        With ``cleanings``, chunks that were taken away since then make it a Conflict: the changes may name one of them.
+        """
         state = self.log.refresh()
         self._branch(state, project, branch)
         counted, n = numbered(rows, order, 0, "_at")
-        if n == 0:
-            return self._head(state, state.handles[project, branch]), 0
+        extra = ({"chunks": list(chunks)} if chunks else {}) | ({"batches": batch} if batch else {})
 
         def step(now: State):
             handle, node = self._branch(now, project, branch)
+            if chunks and cleanings is not None and now.cleanings != cleanings:
+                raise Conflict("chunks were cleaned during the write")
+            if batch and any(now.batches.get(k, -1) >= v for k, v in batch.items()):
+                return {}, (self._head(now, handle), 0)
+            if n == 0:
+                return {"batches": batch} if batch else {}, (self._head(now, handle), 0)
             first = self._head(now, handle) + 1
             actions = self._appended(counted.withColumn("lsn", F.col("_at") + first), project, node["node_id"], first, first + n - 1)
-            if chunks:
-                actions["chunks"] = chunks
-            return actions, (first, n)
+            return actions | extra, (first, n)
 
         return self._retried(step)
 
-    def put_objects(self, project: str, branch: str, objects: DataFrame, order: list[Column] | None = None) -> tuple[int, int]:
+    def _checked(self, rows: DataFrame) -> DataFrame:
+        """Rows whose path is missing or holds NUL are an error where they are read."""
+        bad = F.col("path").isNull() | (F.instr("path", "\0") > 0)
+        return rows.withColumn("path", F.when(bad, F.raise_error(F.lit(BAD_PATH))).otherwise(F.col("path")))
+
+    @contextmanager
+    def _paths_checked(self) -> Iterator[None]:
+        try:
+            yield
+        except Exception as e:
+            if BAD_PATH in str(e):
+                raise InvalidInput(BAD_PATH) from e
+            raise
+
+    def put_objects(self, project: str, branch: str, objects: DataFrame, order: list[Column] | None = None, deleted: Column | None = None, batch: dict[str, int] | None = None) -> tuple[int, int]:
         """Write many objects, ``path, content[, content_type]``, in one commit; returns the first position and their number.
 
-        Positions follow ``order``, by default path and content. Chunks that are stored already are not written again, and
-        they are on disk before the commit names a change that refers to them.
+        Positions follow ``order``, by default path and content. Rows for which ``deleted`` holds become tombstones. The
+        objects are read once, cut and staged where they are; which chunks are new is found from hashes alone, and only
+        those are written, without moving bytes between tasks. Chunks are on disk before the commit names a change that
+        refers to them. ``batch`` names a stream's batch, which is written once, however often it is run.
         """
+        return self._put(project, branch, objects, order, deleted, batch)
+
+    @tidy
+    def _put(self, project: str, branch: str, objects: DataFrame, order: list[Column] | None, deleted: Column | None, batch: dict[str, int] | None) -> tuple[int, int]:
         state = self.log.refresh()
         self._branch(state, project, branch)
-        bad = objects.filter(F.col("path").isNull() | (F.instr("path", "\0") > 0)).limit(1).collect()
-        if bad:
-            raise InvalidInput("paths must not be null or hold NUL")
+        cleanings = state.cleanings
         kind = F.col("content_type") if "content_type" in objects.columns else F.lit(None)
         extra = [c for c in objects.columns if c not in ("path", "content", "content_type")]
-        rows = objects.select("path", F.coalesce("content", F.lit(b"")).alias("content"), F.coalesce(kind, F.lit(DEFAULT_CONTENT_TYPE)).alias("content_type"), *extra)
-        rows = self.chunker.with_cuts(rows, "content")
-        folder = self.log.new_folder("chunks")
-        fresh = chunking.new_chunks(chunking.chunks_of(rows, "path", "content", "cuts"), self._stored(state))
-        fresh.select(*[F.col(f.name).cast(f.dataType) for f in CHUNKS]).write.option("compression", "zstd").parquet(folder)
-        hashed = rows.select(
-            "path", *extra, chunking.hash_list(F.col("content"), F.col("cuts")).alias("chunks"), F.octet_length("content").cast("bigint").alias("size"),
-            "content_type", F.lit(False).alias("tombstone"), F.lit(_now()).alias("created_at"),
-        )
-        return self._write(project, branch, hashed, order or [F.col("path"), F.col("chunks")], [folder])
+        gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
+        rows = objects.select("path", gone.alias("_gone"), F.coalesce("content", F.lit(b"")).alias("content"), F.coalesce(kind, F.lit(DEFAULT_CONTENT_TYPE)).alias("content_type"), *extra)
+        rows = rows.withColumns({"content": F.when(F.col("_gone"), F.lit(b"")).otherwise(F.col("content")), "content_type": F.when(F.col("_gone"), "").otherwise(F.col("content_type"))})
+        rows = chunking.staged_chunks(self.chunker.with_cuts(self._checked(rows), "content"), "content", "cuts")
+        folder = self.log.new_folder("staged")
+        with self._paths_checked():
+            rows.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "lz4").parquet(folder)
+        staged = self.spark.read.parquet(folder)
+        try:
+            places = written(chunking.fresh_keys(staged, self._stored(state), "_row"))
+            chunks = self._kept(chunking.chunks_at(staged, places, "_row"))
+            size = F.aggregate("parts.length", F.lit(0).cast("bigint"), lambda a, x: a + x)
+            hashed = staged.select(
+                "path", *extra, F.col("parts.hash").alias("chunks"), size.alias("size"), "content_type", F.col("_gone").alias("tombstone"), F.lit(_now()).alias("created_at"),
+            )
+            return self._write(project, branch, hashed, order or [F.col("path"), F.col("chunks")], chunks, cleanings, batch)
+        finally:
+            self.log.files.delete(folder)
 
     def put_object(self, project: str, branch: str, path: str, content: bytes, content_type: str | None = None) -> PutResult:
         resolve.without_nul("path", path)
@@ -357,8 +420,13 @@ class Engine:
 
     def delete_objects(self, project: str, branch: str, paths: DataFrame) -> tuple[int, int]:
         """Append a tombstone for each ``path``, also where nothing was."""
-        rows = paths.select("path", F.array().cast("array<binary>").alias("chunks"), F.lit(0).cast("bigint").alias("size"), F.lit("").alias("content_type"), F.lit(True).alias("tombstone"), F.lit(_now()).alias("created_at"))
-        return self._write(project, branch, rows, [F.col("path")], [])
+        return self._delete(project, branch, paths)
+
+    @tidy
+    def _delete(self, project: str, branch: str, paths: DataFrame) -> tuple[int, int]:
+        rows = self._checked(paths.select("path")).select("path", F.array().cast("array<binary>").alias("chunks"), F.lit(0).cast("bigint").alias("size"), F.lit("").alias("content_type"), F.lit(True).alias("tombstone"), F.lit(_now()).alias("created_at"))
+        with self._paths_checked():
+            return self._write(project, branch, rows, [F.col("path")])
 
     def delete_object(self, project: str, branch: str, path: str) -> int:
         resolve.without_nul("path", path)
@@ -405,7 +473,7 @@ class Engine:
         if not meta.chunks:
             return b""
         wanted = [bytearray(h) for h in set(meta.chunks)]
-        stored = self._stored(self.log.state)
+        stored = self._stored(self.log.state, meta.chunks)
         data = {bytes(r["hash"]): bytes(r["data"]) for r in stored.filter(F.col("hash").isin(wanted)).select("hash", "data").collect()} if stored is not None else {}
         if missing := [h.hex() for h in meta.chunks if h not in data]:
             raise ChunkStoreError(f"chunk {missing[0]} is missing")
@@ -414,8 +482,8 @@ class Engine:
     def iter_object(self, project: str, branch: str, path: str, at_lsn: int | None = None) -> Iterator[bytes]:
         """The object chunk by chunk, for objects that the driver cannot hold whole."""
         meta = self.get_object_meta(project, branch, path, at_lsn)
-        stored = self._stored(self.log.state)
         for h in meta.chunks:
+            stored = self._stored(self.log.state, [h])
             row = stored.filter(F.col("hash") == F.lit(bytearray(h))).select("data").first() if stored is not None else None
             if row is None:
                 raise ChunkStoreError(f"chunk {h.hex()} is missing")
@@ -463,3 +531,33 @@ class Engine:
         actions = self._appended(rows, project, node["node_id"], min(x["min_lsn"] for x in logs), max(x["max_lsn"] for x in logs))
         self.log.publish(seq, actions | {"replaces": [x["path"] for x in logs]})
         return len(logs)
+
+    def compact_chunks(self, clean: bool = False) -> int:
+        """Rewrite all chunks into one folder, each once, in order of hash; returns how many folders went into it.
+
+        With ``clean``, chunks that no change names are left out, except where a write that is under way would notice: it
+        then fails as a Conflict. Files of the old folders stay until :meth:`vacuum`.
+        """
+        state = self.log.refresh()
+        seq = state.seq
+        stored = self._stored(state)
+        if stored is None or (len(state.chunks) < 2 and not clean):
+            return 0
+        if clean:
+            logs = self._log_of(state, [(n, lineage.NO_CAP) for n in state.logs])
+            stored = stored.join(logs.select(F.explode("chunks").alias("hash")).distinct(), "hash", "left_semi")
+        size = max(1, int(stored.agg(F.sum("length")).first()[0] or 0) // CHUNK_FILE)
+        once = stored.dropDuplicates(["hash"]) if len(state.chunks) > 1 else stored
+        kept = self._kept(once.repartitionByRange(min(16 + size, 100_000), "hash"))
+        self.log.publish(seq, {"chunks": kept, "replaces": [c["path"] for c in state.chunks], "cleaned": clean})
+        return len(state.chunks)
+
+    def vacuum(self, hours: float = 24 * 7) -> int:
+        """Delete data folders that no commit in force names and that are older; returns how many.
+
+        They come from lost races, failed writes and compactions. The age must exceed the longest write and read.
+        """
+        gone = self.log.unnamed(_now() - int(hours * 3_600_000))
+        for path in gone:
+            self.log.files.delete(path)
+        return len(gone)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forkline.errors import InvalidInput
-from forkline.sources import shipped
+from forkline.sources import BROADCAST_ROWS, shipped
 
 DEFAULT_CHUNK_SIZE = 8 * 1024 * 1024
 
@@ -153,11 +153,41 @@ class ContentDefined:
         return with_content_cuts(objects, content_col, self.least, self.average, self.most)
 
 
-def new_chunks(chunks: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """``hash, data, length`` of chunks that are not stored yet, once each.
+def prefix_of(hash: Column) -> Column:
+    """The hash prefix that chunks are stored by: its first hex digit."""
+    return F.lower(F.substring(F.hex(hash), 1, 1))
+
+
+def staged_chunks(objects: DataFrame, content_col: str, cuts_col: str) -> DataFrame:
+    """The objects with ``parts``, their chunks as ``(hash, length, data)`` in byte order, instead of content and cuts."""
+    piece = lambda c: F.struct(chunk_hash(slice_of(F.col(content_col), c)).alias("hash"), c["length"].alias("length"), slice_of(F.col(content_col), c).alias("data"))
+    return objects.withColumn("parts", F.transform(cuts_col, piece)).drop(content_col, cuts_col)
+
 
-    Stored hashes are taken out first, so that only new data is shuffled for the deduplication.
+def fresh_keys(staged: DataFrame, stored: DataFrame | None, row: str) -> DataFrame:
+    """``hash`` of chunks that are not stored yet with one place of each: ``row`` and ``at`` in its parts.
+
+    Only hashes and places are read and moved, never bytes.
     """
+    keys = staged.select(row, F.posexplode("parts.hash").alias("at", "hash"))
+    once = keys.groupBy("hash").agg(F.min(F.struct(row, "at")).alias("_place"))
+    if stored is not None:
+        once = once.join(stored.select("hash"), "hash", "left_anti")
+    return once.select("hash", f"_place.{row}", "_place.at")
+
+
+def chunks_at(staged: DataFrame, places: DataFrame, row: str) -> DataFrame:
+    """``hash, data, length`` of the chunks at given places, once each."""
+    wanted = places.groupBy(row).agg(F.collect_list("at").alias("_at"))
+    if places.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    kept = staged.select(row, "parts").join(wanted, row)
+    kept = kept.select(F.explode(F.transform("_at", lambda i: F.get("parts", i))).alias("c"))
+    return kept.select("c.hash", "c.data", "c.length")
+
+
+def new_chunks(chunks: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """``hash, data, length`` of chunks that are not stored yet, once each; for chunks that are at hand as rows."""
     rows = chunks.select("hash", "data", "length")
     if stored is not None:
         rows = rows.join(stored.select("hash"), "hash", "left_anti")
@@ -176,12 +206,15 @@ def object_chunks(objects: DataFrame, chunks: DataFrame, id_col: str = "path") -
 
 
 def assembled(objects: DataFrame, chunks: DataFrame, id_col: str = "path") -> DataFrame:
-    """``id, content``: each object's bytes, its chunks in list order; empty for no chunks, null if one is missing."""
+    """``id, content``: each object's bytes, its chunks in list order; empty for no chunks, null if one is missing.
+
+    A value of Spark holds 2 GiB at most; larger objects can be read as rows of :func:`object_chunks`.
+    """
     parts = object_chunks(objects, chunks, id_col)
-    grouped = parts.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.hex("data").alias("hex")))).alias("parts"))
-    whole = F.when(~F.exists("parts", lambda p: p["hex"].isNull()), F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), "")))
-    known = grouped.select(id_col, whole.alias("content"), F.lit(True).alias("_has"))
-    out = objects.select(id_col).join(known, id_col, "left")
+    grouped = parts.sparkSession.sql(
+        f"SELECT `{id_col}`, CASE WHEN count(data) = count(*) THEN listagg(data) WITHIN GROUP (ORDER BY chunk_index) END AS content, true AS _has FROM {{parts}} GROUP BY `{id_col}`", parts=parts
+    )
+    out = objects.select(id_col).join(grouped, id_col, "left")
     return out.select(id_col, F.when(F.col("_has"), F.col("content")).otherwise(F.lit(b"")).alias("content"))
 
 

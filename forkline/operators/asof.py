@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from forkline.operators import intervals
 from forkline.operators.hierarchy import carried, subtree_sizes
 from forkline.operators.ordering import swept, with_last, with_next, with_sorted_offset
-from forkline.sources import dropped, written, written_counting
+from forkline.sources import dropped, tidy, written, written_counting
 
 #: Log positions, or numbers of changes, of one block when they are put in order.
 BLOCK = 4096
@@ -127,6 +127,7 @@ def _lineage(edges: DataFrame) -> DataFrame:
     return _straight(edges.join(circling, "id", "left_anti")).unionByName(_around(edges.join(circling, "id", "left_semi")))
 
 
+@tidy
 def layout(nodes: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The axis of segments: ``places, reaches, hops``.
 
@@ -205,6 +206,7 @@ def rectangles(sheets: DataFrame) -> DataFrame:
     return filled.select("path", F.explode(F.array_compact(F.array(under, beside))).alias("r")).select("path", "r.*")
 
 
+@tidy
 def visible_versions(requests: DataFrame, handles: DataFrame, nodes: DataFrame, mutations: DataFrame) -> DataFrame:
     """``request_id, node_id, lsn``: each distinct request that finds a version, and that version.
 

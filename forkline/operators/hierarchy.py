@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from forkline.operators import intervals
 from forkline.operators.ordering import with_offset
-from forkline.sources import dropped, written, written_counting
+from forkline.sources import dropped, tidy, written, written_counting
 
 #: Siblings up to which their ranges are allocated in one window group.
 SIBLING_BLOCK = 100_000
@@ -106,6 +106,7 @@ def _circles(edges: DataFrame, members: DataFrame) -> DataFrame:
     return state.join(ring.select(F.col("id").alias("ptr"), F.col("least").alias("root_key")), "ptr").select("id", "root_key")
 
 
+@tidy
 def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     """One row per member: ``tree_kind, scope, member_key, root_key, depth, start, size[, path]``.
 

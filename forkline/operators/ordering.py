@@ -149,8 +149,7 @@ def numbered(df: DataFrame, order: list[Column], first: int, out: str) -> tuple[
     Rows are range-partitioned and written once, so that the numbers cannot change; only one count per partition goes to
     the driver, and no task sorts more than its range.
     """
-    parts = df.sparkSession.sparkContext.defaultParallelism * 2
-    placed = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    placed = written(df.repartitionByRange(ranges_of(df.sparkSession, 0), *order).withColumn("_part", F.spark_partition_id()))
     counts = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
     bases, total = {}, 0
     for part, n in counts:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from forkline.functions import month_of_millis
 from forkline.operators.ordering import newest
-from forkline.sources import written
+from forkline.sources import tidy, written
 
 
 def children_of(df: DataFrame, table: str, key: Column, ref_key: Column, at: Column, scope: Column | None = None) -> DataFrame:
@@ -30,6 +30,7 @@ def parents_of(df: DataFrame, table: str, key: Column, since: Column, scope: Col
     ).filter(F.col("target_key").isNotNull())
 
 
+@tidy
 def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Every distinct reference without a parent that exists at its time.
 

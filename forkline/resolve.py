@@ -6,26 +6,42 @@ import base64
 import binascii
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from forkline.errors import InvalidCursor, InvalidInput
 from forkline.lineage import NO_CAP
+from forkline.sources import BROADCAST_ROWS
+
+
+#: Segments of a chain up to which it goes into the plan as literals, and up to which its segments are listed for pruning.
+LITERALS, LISTED = 32, 1000
 
 
 def within_chain(mutations: DataFrame, chain: list[tuple[int, int]]) -> DataFrame:
     """The changes that a chain admits, with their ``depth``.
 
-    The chain goes into the plan as literals, so that segments and positions are pruned where the files are read.
+    A short chain goes into the plan as literals, so that segments and positions are pruned where the files are read. A
+    long one is a small table that the changes are joined with, next to filters by segment and greatest position.
     """
     if not chain:
         return mutations.filter("false").withColumn("depth", F.lit(0))
+    ids = [n for n, _ in chain]
+    if len(chain) > LITERALS:
+        listed = F.col("node_id").isin(ids) if len(ids) <= LISTED else F.col("node_id").between(min(ids), max(ids))
+        top = max(cap for _, cap in chain)
+        table = pa.table({"node_id": ids, "depth": range(len(ids)), "_cap": [cap for _, cap in chain]}, pa.schema([("node_id", pa.int64()), ("depth", pa.int32()), ("_cap", pa.int64())]))
+        levels = mutations.sparkSession.createDataFrame(table)
+        levels = F.broadcast(levels) if len(ids) <= BROADCAST_ROWS else levels
+        rows = mutations.filter(listed if top == NO_CAP else listed & (F.col("lsn") <= top))
+        return rows.join(levels, "node_id").filter(F.col("lsn") <= F.col("_cap")).select(*[mutations[c] for c in mutations.columns], "depth")
     admitted = reduce(Column.__or__, [(F.col("node_id") == n) & (F.col("lsn") <= cap) if cap < NO_CAP else F.col("node_id") == n for n, cap in chain])
     depth = F.lit(None).cast("int")
     for d, (n, _) in enumerate(chain):
         depth = F.when(F.col("node_id") == n, F.lit(d)).otherwise(depth)
-    return mutations.filter(F.col("node_id").isin([n for n, _ in chain]) & admitted).withColumn("depth", depth)
+    return mutations.filter(F.col("node_id").isin(ids) & admitted).withColumn("depth", depth)
 
 
 def top_versions(admitted: DataFrame) -> DataFrame:

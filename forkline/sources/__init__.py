@@ -3,21 +3,38 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import ParamSpec, TypeVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from forkline.errors import StorageError
+
 #: Rows up to which a side counts as small enough to send to every executor, for rows of a few numbers.
 BROADCAST_ROWS = 1_000_000
+P, R = ParamSpec("P"), TypeVar("R")
 _SHIPPED: set[str] = set()
 _OWN: dict[str, str] = {}
 
 
+class _Open(threading.local):
+    """Per thread, the tables written by each operator call that is under way, innermost last."""
+
+    def __init__(self) -> None:
+        self.calls: list[list[DataFrame]] = []
+
+
+_OPEN = _Open()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder: one file or a folder of files."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -26,12 +43,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
 
-    Only where neither is set, as in tests, it is a folder of our own on this machine.
+    Only where neither is set and everything runs in one process, as in tests, it is a folder of our own on this machine;
+    on a cluster that is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise StorageError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _OWN:
         _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='forkline-')}"
     return _OWN[context.applicationId]
@@ -49,8 +69,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, at_exit: bool = True) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
-    This cuts the lineage, survives lost executors, and gives later plans true sizes. The files go when Python ends,
-    or earlier through :func:`dropped`.
+    This cuts the lineage, survives lost executors, and gives later plans true sizes. The files go when the operator that
+    wrote them returns a result that does not read them (:func:`tidy`), through :func:`dropped`, or when Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/forkline-{uuid.uuid4().hex}"
@@ -59,6 +79,8 @@ def written(df: DataFrame, at_exit: bool = True) -> DataFrame:
         atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._forkline_path = path
+    if _OPEN.calls:
+        _OPEN.calls[-1].append(out)
     return out
 
 
@@ -76,6 +98,41 @@ def dropped(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def _read_paths(df: DataFrame) -> str:
+    """The folders that a frame's plan reads, in one string."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            found.append(leaf.relation().location().rootPaths().mkString("\n"))
+    return "\n".join(found)
+
+
+def tidy(make: Callable[P, R]) -> Callable[P, R]:
+    """For functions that return a frame or several: drop what they wrote on the way and their results do not read."""
+
+    @functools.wraps(make)
+    def run(*args: P.args, **kwargs: P.kwargs) -> R:
+        _OPEN.calls.append([])
+        try:
+            out = make(*args, **kwargs)
+            frames = [f for f in (out if isinstance(out, (tuple, list)) else [out]) if isinstance(f, DataFrame)]
+            read = "\n".join(map(_read_paths, frames))
+        except BaseException:
+            read = ""
+            raise
+        finally:
+            mine = _OPEN.calls.pop()
+            kept = [df for df in mine if df._forkline_path.rpartition("/")[2] in read]
+            dropped(*[df for df in mine if not any(df is k for k in kept)])
+            if _OPEN.calls:
+                _OPEN.calls[-1].extend(kept)
+        return out
+
+    return run
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """``df`` with a broadcast hint if a count shows at most ``rows`` rows, and whether it has one.
 

@@ -10,18 +10,18 @@ from forkline.api import Engine
 
 
 def ingest(stream: DataFrame, engine: Engine, project: str, branch: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Put each micro-batch of ``path, content[, content_type][, deleted]`` into a branch, one commit for puts and one for deletes.
+    """Put each micro-batch of ``path, content[, content_type][, deleted]`` into a branch, puts and deletes in one commit.
 
-    A batch that is run again after a failure appends its versions once more; the visible state is the same.
+    The commit names the stream, by its checkpoint and branch, and the batch: a batch that is run again after a failure
+    finds itself there and appends nothing.
     """
+    name = f"{checkpoint}|{project}|{branch}"
 
-    def write(batch: DataFrame, _: int) -> None:
-        if "deleted" not in batch.columns:
-            engine.put_objects(project, branch, batch)
+    def write(batch: DataFrame, number: int) -> None:
+        if engine.log.refresh().batches.get(name, -1) >= number:
             return
-        gone = F.coalesce("deleted", F.lit(False))
-        engine.put_objects(project, branch, batch.filter(~gone).drop("deleted"))
-        engine.delete_objects(project, branch, batch.filter(gone).select("path"))
+        deleted = F.col("deleted") if "deleted" in batch.columns else None
+        engine.put_objects(project, branch, batch, deleted=deleted, batch={name: number})
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

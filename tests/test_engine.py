@@ -76,19 +76,31 @@ def test_merge(engine, graph):
     assert engine.merge(p, dev)[1] == 3
 
 
-def test_merge_conflict(engine, graph, monkeypatch):
+@pytest.mark.parametrize("what, lost", [("project", False), ("put elsewhere", False), ("put on target", True), ("put on source", True), ("child", True)])
+def test_merge_conflicts_on_its_own_branches_only(engine, graph, monkeypatch, what, lost):
     p, main, dev = graph
+    side = engine.create_branch(p, main).branch_id
     appended = engine._appended
 
     def late(*args):
         monkeypatch.setattr(engine, "_appended", appended)
-        Engine(engine.spark, engine.log.root).create_project()
+        other = Engine(engine.spark, engine.log.root)
+        if what == "project":
+            other.create_project()
+        elif what == "child":
+            other.create_branch(p, dev)
+        else:
+            other.put_object(p, {"put elsewhere": side, "put on target": main, "put on source": dev}[what], "late", b"late")
         return appended(*args)
 
     monkeypatch.setattr(engine, "_appended", late)
-    with pytest.raises(errors.Conflict):
-        engine.merge(p, dev)
-    assert read(engine, p, main, "baz.md") is None
+    if lost:
+        with pytest.raises((errors.Conflict, errors.BranchHasChildren)):
+            engine.merge(p, dev)
+        assert read(engine, p, main, "baz.md") is None
+    else:
+        assert engine.merge(p, dev)[1] == 2
+        assert read(engine, p, main, "baz.md") == "baz"
 
 
 def test_restore(engine, graph):

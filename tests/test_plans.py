@@ -39,6 +39,7 @@ def test_listing_prunes_and_pushes(spark, tmp_path):
 
 def test_layer_state_is_one_hash_aggregation(spark):
     text = plan(data_quality.p2_found(spark, DATA))
+    assert "max_by(lsn" in text
     assert text.count("Exchange") == 1 and "SortAggregate" not in text and "Python" not in text
     assert "chunks" not in re.search(r"ReadSchema: struct<(.*?)>\n", text + "\n")[1]
 
