@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ def _chain(c: Collection, branch: str) -> DataFrame:
     return lineage.chain_frame(c.log.sparkSession, c.node_frame(), HANDLES[branch][0])
 
 
-def _changed(c: Collection, new: dict, leaf_view: bool = True) -> DataFrame:
+def _changed(c: Collection, new: dict) -> DataFrame:
     """The view of a new segment that a fork, restore or reset would make."""
     chain = lineage.chain(c.nodes | {new["node_id"]: new}, new["node_id"])
     return resolve.resolved(c.log, chain).select("path", "lsn", "size")
@@ -98,6 +99,16 @@ def content_chunk_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.aggregate("cuts", F.lit(0).cast("bigint"), lambda a, c: a + c["length"]).alias("size"), F.sha2(F.unhex(F.array_join(parts, "")), 256).alias("sha256"))
 
 
+def content_chunk_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document whether its content-defined chunks follow each other, none too long and only the last too short; and those that occur twice."""
+    docs = chunking.with_content_cuts(_documents(spark, folder).drop("cuts"), "content", 256, 1024, 4096)
+    last = F.size("cuts") - 1
+    follow = F.forall(F.sequence(F.lit(1), last), lambda i: F.get("cuts", i)["offset"] == F.get("cuts", i - 1)["offset"] + F.get("cuts", i - 1)["length"])
+    full = F.forall(F.transform("cuts", lambda c, i: (c["length"] <= 4096) & ((c["length"] >= 256) | (i == last))), lambda ok: ok)
+    total = F.aggregate("cuts", F.lit(0).cast("bigint"), lambda a, c: a + c["length"])
+    return docs.select("doc_id", (F.when(last > 0, follow).otherwise(True) & full).alias("within"), (total == F.octet_length("content")).alias("whole"))
+
+
 def chunk_orphans(spark: SparkSession, folder: str) -> DataFrame:
     """Stored chunks that no change names."""
     refs = table(spark, folder, "mutations").select(F.transform("chunks", F.lower).alias("chunks"))
@@ -145,6 +156,138 @@ def engine_fork_merge(spark: SparkSession, folder: str) -> DataFrame:
     return engine.visible(p.project_id, p.root_branch_id).select("path", "lsn", "size")
 
 
+SEEN = ["path", "lsn", "size"]
+
+
+def _two_layers(spark: SparkSession, folder: str) -> tuple[Engine, str, str, str, int]:
+    """A project with English documents on main, put twice, and the others on a fork: engine, project, main, fork, English ones."""
+    engine = _engine(spark)
+    p = engine.create_project()
+    rows = _bulk(spark, folder)
+    main = rows.filter(F.col("path").startswith("en/"))
+    _, n = engine.put_objects(p.project_id, p.root_branch_id, main)
+    fork = engine.create_branch(p.project_id, p.root_branch_id).branch_id
+    engine.put_objects(p.project_id, p.root_branch_id, main)
+    engine.put_objects(p.project_id, fork, rows.filter(~F.col("path").startswith("en/")))
+    return engine, p.project_id, p.root_branch_id, fork, n
+
+
+def engine_fork_at_lsn(spark: SparkSession, folder: str) -> DataFrame:
+    """A fork of the fork at half of main's first put."""
+    engine, p, _, fork, n = _two_layers(spark, folder)
+    return engine.visible(p, engine.fork_at_lsn(p, fork, n // 2).branch_id).select(SEEN)
+
+
+def engine_restore(spark: SparkSession, folder: str) -> DataFrame:
+    """The fork restored to ten changes after its fork, and the branch that keeps what it had."""
+    engine, p, _, fork, n = _two_layers(spark, folder)
+    info, backup = engine.restore(p, fork, n + 10)
+    of = lambda kind, b, i: engine.visible(p, b).select(F.lit(kind).alias("kind"), *SEEN, F.lit(i.head_lsn).cast("bigint").alias("head_lsn"))
+    return of("restored", fork, info).unionByName(of("backup", backup.branch_id, backup))
+
+
+def engine_reset(spark: SparkSession, folder: str) -> DataFrame:
+    """The fork started anew from main as it is now, and the next position it would use."""
+    engine, p, _, fork, _ = _two_layers(spark, folder)
+    engine.reset_from_parent(p, fork)
+    lsn = engine.delete_object(p, fork, "none such")
+    return engine.visible(p, fork).select(*SEEN, F.lit(lsn).cast("bigint").alias("next_lsn"))
+
+
+def engine_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Main as its snapshot before the second put names it, through the snapshot's position, and its metadata."""
+    engine = _engine(spark)
+    p = engine.create_project()
+    main = p.root_branch_id
+    rows = _bulk(spark, folder)
+    engine.put_objects(p.project_id, main, rows)
+    first = engine.create_snapshot(p.project_id, main)
+    engine.delete_objects(p.project_id, main, rows.filter(F.col("path").endswith("7")).select("path"))
+    second = engine.create_snapshot(p.project_id, main)
+    engine.put_objects(p.project_id, main, rows)
+    engine.delete_snapshot(p.project_id, main, engine.create_snapshot(p.project_id, main).snapshot_id)
+    listed = {s.snapshot_id for s in engine.list_snapshots(p.project_id, main).items}
+    kept = [("first", first), ("second", second)]
+    views = [
+        engine.visible(p.project_id, main, engine.resolve_lsn(p.project_id, main, snapshot_id=s.snapshot_id)).select(
+            F.lit(name).alias("name"), *SEEN, F.lit(engine.get_snapshot(p.project_id, main, s.snapshot_id).lsn).cast("bigint").alias("at"), F.lit(len(listed)).cast("bigint").alias("n_snapshots")
+        )
+        for name, s in kept if s.snapshot_id in listed
+    ]
+    return views[0].unionByName(views[1])
+
+
+def engine_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """All of main by cursors, with the page that each path was on."""
+    engine, p, main, _, _ = _two_layers(spark, folder)
+    out, cursor, more = [], None, True
+    while more:
+        page = engine.list_objects(p, main, prefix="en/", cursor=cursor, limit=100)
+        out += [(i, o.path, o.lsn) for i, o in enumerate(page.items, len(out))]
+        cursor, more = page.next_cursor, page.has_more
+    return spark.createDataFrame(out, "place bigint, path string, lsn bigint")
+
+
+def engine_bulk_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """Deletes on the fork: of its own paths, of main's and of one that never was; main shows none of them."""
+    engine, p, main, fork, _ = _two_layers(spark, folder)
+    paths = _bulk(spark, folder).filter(F.col("path").endswith("3")).select("path").unionByName(spark.createDataFrame([("none such",)], "path string"))
+    engine.delete_objects(p, fork, paths)
+    of = lambda kind, b: engine.visible(p, b).select(F.lit(kind).alias("kind"), *SEEN)
+    return of("fork", fork).unionByName(of("main", main))
+
+
+def engine_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Branches and children as the engine gives them, by their place in the tree."""
+    engine, p, main, fork, _ = _two_layers(spark, folder)
+    names = {main: "main", fork: "fork", None: None}
+    infos = [engine.get_branch(p, b.branch_id) for b in engine.list_branches(p).items]
+    rows = [(names[i.branch_id], names[i.parent_id], i.fork_lsn, i.head_lsn, len(engine.list_children(p, i.branch_id))) for i in infos]
+    return spark.createDataFrame(rows, "branch string, parent string, fork_lsn bigint, head_lsn bigint, n_children bigint")
+
+
+def _segments(spark: SparkSession, folder: str) -> dict[int, dict]:
+    """The recorded segments, with parents only where the project records them."""
+    rows = table(spark, folder, "branch_nodes").filter("node_id IS NOT NULL").distinct().collect()
+    there = {(r["project_id"], r["node_id"]) for r in rows}
+    return {r["node_id"]: r.asDict() | {"parent_node_id": r["parent_node_id"] if (r["project_id"], r["parent_node_id"]) in there else None} for r in rows}
+
+
+def _depths(nodes: dict[int, dict]) -> dict[int, int]:
+    """The depth of each segment whose parents lead to a root."""
+    below: dict[int | None, list[int]] = {}
+    for n, r in nodes.items():
+        below.setdefault(r["parent_node_id"], []).append(n)
+    out, level = {}, below.get(None, [])
+    while level:
+        out |= dict.fromkeys(level, len(out) and out[nodes[level[0]]["parent_node_id"]] + 1)
+        level = [c for n in level for c in below.get(n, ())]
+    return out
+
+
+def _shown(spark: SparkSession, folder: str, nodes: dict[int, dict], leaf: int) -> DataFrame:
+    log = table(spark, folder, "mutations").filter("path IS NOT NULL").select("node_id", "lsn", "path", "tombstone")
+    return resolve.resolved(log, lineage.chain(nodes, leaf)).select("node_id", "path", "lsn")
+
+
+def resolve_deepest(spark: SparkSession, folder: str) -> DataFrame:
+    """What the deepest segment of the change feed shows."""
+    nodes = _segments(spark, folder)
+    depths = _depths(nodes)
+    return _shown(spark, folder, nodes, min(depths, key=lambda n: (-depths[n], n)))
+
+
+def resolve_ten_branches(spark: SparkSession, folder: str) -> DataFrame:
+    """What the ten branches with the smallest MD5 of their name show, of those that lead to a root."""
+    nodes = _segments(spark, folder)
+    depths = _depths(nodes)
+    current = table(spark, folder, "branch_handles").groupBy("project_id", "branch_id").agg(F.max_by("node_id", "commit_seq").alias("leaf"))
+    rooted = spark.createDataFrame([(n,) for n in depths], "leaf bigint")
+    chosen = current.join(rooted, "leaf").orderBy(F.md5("branch_id")).limit(10).collect()
+    views = [_shown(spark, folder, nodes, r["leaf"]).select(F.lit(r["branch_id"]).alias("branch_id"), "*") for r in chosen]
+    return reduce(DataFrame.unionByName, views)
+
+
 QUERIES = {
     **{f"ancestry_chain_{b}": _over(lambda c, b=b: _chain(c, b)) for b in ("main", "dev", "staging")},
     **{f"resolve_{b}_live": _over(lambda c, b=b: _view(c, b)) for b in HANDLES},
@@ -172,7 +315,7 @@ QUERIES = {
     "snapshot_view": _over(lambda c: _view(c, "staging", c.nodes[3]["fork_lsn"] + 20).select("path", "lsn", "size")),
     "tombstones_visible": _over(lambda c: resolve.top_versions(resolve.within_chain(c.log, lineage.chain(c.nodes, 4))).filter("tombstone").select("path", "lsn")),
     "version_history": _over(lambda c: resolve.within_chain(c.log, lineage.chain(c.nodes, 3)).filter(F.col("path") == HIT).select("node_id", "lsn", "tombstone")),
-    **{f.__name__: f for f in (chunks_fixed_1024, chunk_dedup_stats, chunk_keys, shared_chunks, object_reassembly, content_chunk_coverage, chunk_orphans, engine_bulk_put, engine_read_back, engine_fork_merge)},
+    **{f.__name__: f for f in (chunks_fixed_1024, chunk_dedup_stats, chunk_keys, shared_chunks, object_reassembly, content_chunk_coverage, content_chunk_bounds, chunk_orphans, engine_bulk_put, engine_read_back, engine_fork_merge, engine_fork_at_lsn, engine_restore, engine_reset, engine_snapshots, engine_pages, engine_bulk_delete, engine_tables, resolve_deepest, resolve_ten_branches)},
 }
 
 _BASE = """
@@ -218,7 +361,45 @@ _DOC_CHUNKS = (
 )
 _BULK = "bulk AS (SELECT coalesce(lang, 'none') || '/' || lpad(CAST(doc_id AS VARCHAR), 10, '0') path, coalesce(text, '') t, coalesce(source, 'none') content_type FROM documents)"
 
+_LAYERS = f"""{_BULK},
+en AS (SELECT path, CAST(row_number() OVER (ORDER BY path) AS BIGINT) r, CAST(count(*) OVER () AS BIGINT) n, CAST(strlen(t) AS BIGINT) size FROM bulk WHERE starts_with(path, 'en/')),
+rest AS (SELECT path, CAST(row_number() OVER (ORDER BY path) AS BIGINT) r, CAST(strlen(t) AS BIGINT) size FROM bulk WHERE NOT starts_with(path, 'en/')),
+k AS (SELECT (SELECT count(*) FROM en) n, (SELECT count(*) FROM rest) m)"""
+_REAL = """
+node AS (SELECT DISTINCT project_id, node_id, parent_node_id, fork_lsn FROM branch_nodes WHERE node_id IS NOT NULL),
+tree AS (SELECT n.project_id, n.node_id, 0 depth FROM node n LEFT JOIN node p ON p.project_id = n.project_id AND p.node_id = n.parent_node_id WHERE p.node_id IS NULL
+ UNION ALL SELECT n.project_id, n.node_id, t.depth + 1 FROM tree t JOIN node n ON n.project_id = t.project_id AND n.parent_node_id = t.node_id),
+"""
+_REAL_VIEW = """
+chain AS (SELECT branch_id, node_id, 0 depth, 9223372036854775807 cap FROM leaf
+ UNION ALL SELECT c.branch_id, p.node_id, c.depth + 1, least(c.cap, coalesce(n.fork_lsn, 9223372036854775807)) FROM chain c JOIN node n ON n.node_id = c.node_id
+ JOIN node p ON p.project_id = n.project_id AND p.node_id = n.parent_node_id),
+top AS (SELECT c.branch_id, m.node_id, path, lsn, coalesce(tombstone, false) dead, row_number() OVER (PARTITION BY c.branch_id, path ORDER BY depth, lsn DESC) rn
+ FROM chain c JOIN mutations m ON m.node_id = c.node_id AND m.lsn <= c.cap WHERE path IS NOT NULL)
+"""
+
 SQL = {
+    "content_chunk_bounds": "SELECT doc_id, true AS within, true AS whole FROM documents",
+    "engine_fork_at_lsn": f"WITH {_LAYERS} SELECT path, r AS lsn, size FROM en WHERE r <= n // 2",
+    "engine_restore": f"""WITH {_LAYERS}, own AS (SELECT path, n + r lsn, r, size, n + m head_lsn FROM rest, k)
+SELECT 'restored' AS kind, path, CAST(lsn AS BIGINT) AS lsn, size, CAST(head_lsn AS BIGINT) AS head_lsn FROM own WHERE r <= 10
+UNION ALL SELECT 'backup', path, CAST(lsn AS BIGINT), size, CAST(head_lsn AS BIGINT) FROM own
+UNION ALL SELECT x.kind, path, r, size, CAST(k.n + m AS BIGINT) FROM en, k, (VALUES ('restored'), ('backup')) x(kind)""",
+    "engine_reset": f"WITH {_LAYERS} SELECT path, CAST(k.n + r AS BIGINT) AS lsn, size, CAST(greatest(2 * k.n, k.n + m) + 1 AS BIGINT) AS next_lsn FROM en, k",
+    "engine_snapshots": f"""WITH {_BULK}, b AS (SELECT path, CAST(row_number() OVER (ORDER BY path) AS BIGINT) lsn, CAST(strlen(t) AS BIGINT) size, CAST(count(*) OVER () AS BIGINT) n FROM bulk),
+d AS (SELECT CAST(count(*) AS BIGINT) d FROM b WHERE ends_with(path, '7'))
+SELECT 'first' AS name, path, lsn, size, n AS at, CAST(2 AS BIGINT) AS n_snapshots FROM b UNION ALL SELECT 'second', path, lsn, size, n + d, 2 FROM b, d WHERE NOT ends_with(path, '7')""",
+    "engine_pages": f"WITH {_LAYERS} SELECT r - 1 AS place, path, CAST(k.n + r AS BIGINT) AS lsn FROM en, k",
+    "engine_bulk_delete": f"""WITH {_LAYERS}
+SELECT 'fork' AS kind, path, CAST(k.n + r AS BIGINT) AS lsn, size FROM rest, k WHERE NOT ends_with(path, '3') UNION ALL SELECT 'fork', path, r, size FROM en WHERE NOT ends_with(path, '3')
+UNION ALL SELECT 'main', path, CAST(k.n + r AS BIGINT), size FROM en, k""",
+    "engine_tables": f"""WITH {_LAYERS} SELECT 'main' AS branch, NULL AS parent, CAST(NULL AS BIGINT) AS fork_lsn, CAST(2 * n AS BIGINT) AS head_lsn, CAST(1 AS BIGINT) AS n_children FROM k
+UNION ALL SELECT 'fork', 'main', CAST(n AS BIGINT), CAST(n + m AS BIGINT), 0 FROM k""",
+    "resolve_deepest": f"WITH RECURSIVE {_REAL} leaf AS (SELECT 'x' branch_id, node_id FROM tree ORDER BY depth DESC, node_id LIMIT 1), {_REAL_VIEW} SELECT node_id, path, lsn FROM (SELECT DISTINCT * FROM top WHERE rn = 1) WHERE NOT dead",
+    "resolve_ten_branches": f"""WITH RECURSIVE {_REAL}
+cur AS (SELECT project_id, branch_id, arg_max(node_id, commit_seq) node_id FROM branch_handles GROUP BY ALL),
+leaf AS (SELECT branch_id, node_id FROM cur WHERE node_id IN (SELECT node_id FROM tree) ORDER BY md5(branch_id) LIMIT 10), {_REAL_VIEW}
+SELECT branch_id, node_id, path, lsn FROM top WHERE rn = 1 AND NOT dead""",
     **{f"ancestry_chain_{b}": _sql("SELECT node_id, depth, cap FROM chain", HANDLES[b][0]) for b in ("main", "dev", "staging")},
     **{f"resolve_{b}_live": _sql(f"SELECT {_COLUMNS} FROM view", n) for b, (n, _) in HANDLES.items()},
     "resolve_staging_at_lsn": _sql(f"SELECT {_COLUMNS} FROM view", 3, "(SELECT f2 // 2 FROM f)"),
