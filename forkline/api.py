@@ -549,8 +549,9 @@ class Engine:
         size = max(1, int(stored.agg(F.sum("length")).first()[0] or 0) // CHUNK_FILE)
         once = stored.dropDuplicates(["hash"]) if len(state.chunks) > 1 else stored
         kept = self._kept(once.repartitionByRange(min(16 + size, 100_000), "hash"))
-        self.log.publish(seq, {"chunks": kept, "replaces": [c["path"] for c in state.chunks], "cleaned": clean})
-        return len(state.chunks)
+        old = [c["path"] for c in state.chunks]
+        self.log.publish(seq, {"chunks": kept, "replaces": old, "cleaned": clean})
+        return len(old)
 
     def vacuum(self, hours: float = 24 * 7) -> int:
         """Delete data folders that no commit in force names and that are older; returns how many.

@@ -138,13 +138,12 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     return members.join(out, "id").select(*PLACE, "member_key", "root_key", "depth", "start", "size", *extra)
 
 
-def descendants(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """``tree_kind, member_key, descendant_key`` of the members of ``of`` (rows of ``tree``; by default all).
+def descendants(tree: DataFrame, of: DataFrame) -> DataFrame:
+    """``tree_kind, member_key, descendant_key`` of the members of ``of`` (rows of ``tree``), against all members.
 
-    Each range is expanded to its positions, which are unique, and those are looked up: the work is the output.
+    The ranges of ``tree`` say the same for all members at once; pairs of all members grow with the square of the depth. Each range is expanded to its positions, which are unique, and those are looked up: the work is the output.
     Ranges are cut before they are expanded, so that no task holds more than a block of a large one.
     """
-    of = tree if of is None else of
     spans = of.filter("size > 1").select("tree_kind", "member_key", (F.col("start") + 1).alias("lo"), (F.col("start") + F.col("size") - 1).alias("hi"))
     cut = spans.select("*", F.explode(F.sequence(F.floor(F.col("lo") / RANGE_BLOCK), F.floor(F.col("hi") / RANGE_BLOCK))).alias("block"))
     cut = cut.repartition("block")
@@ -154,9 +153,8 @@ def descendants(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return positions.join(at, "start").select("tree_kind", "member_key", "descendant_key")
 
 
-def ancestors(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
+def ancestors(tree: DataFrame, of: DataFrame) -> DataFrame:
     """``tree_kind, member_key, ancestor_key, distance`` of the members of ``of``: whose ranges hold their positions."""
-    of = tree if of is None else of
     spans = tree.filter("size > 1").select(F.col("member_key").alias("ancestor_key"), F.col("depth").alias("above"), F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
     bits = spans.agg(intervals.levels_in_use(spans, "lo", "hi").alias("bits")).first()["bits"]
     points = of.filter("depth > 0").select("tree_kind", "member_key", "depth", "start", F.lit(bits or 0).alias("bits"))

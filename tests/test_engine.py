@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from forkline import errors
+from forkline import errors, lineage, resolve, sources
 from forkline.api import Engine
 
 
@@ -385,3 +385,107 @@ def test_concurrent_writers_share_one_log(engine, spark):
         lsns = list(pool.map(lambda x: writers[x[0]].put_object(p, main, f"f{x[1]}", b"x").lsn, [(i % 4, i) for i in range(12)]))
     assert sorted(lsns) == list(range(1, 13))
     assert {o.path: o.lsn for o in engine.list_objects(p, main).items} == {f"f{i}": lsn for i, lsn in enumerate(lsns)}
+
+
+def test_bulk_paths_are_checked(engine, spark):
+    p = engine.create_project()
+    main = p.root_branch_id
+    for bad in (None, "a\0b"):
+        rows = spark.createDataFrame([("fine", bytearray(b"x")), (bad, bytearray(b"y"))], "path string, content binary")
+        with pytest.raises(errors.InvalidInput):
+            engine.put_objects(p.project_id, main, rows)
+        with pytest.raises(errors.InvalidInput):
+            engine.delete_objects(p.project_id, main, rows)
+    assert engine.get_branch(p.project_id, main).head_lsn == 0
+
+
+def test_a_batch_is_written_once(engine, spark, tmp_path):
+    p = engine.create_project()
+    rows = spark.createDataFrame([("a", bytearray(b"1"), False), ("b", bytearray(b"2"), True)], "path string, content binary, deleted boolean")
+    for _ in range(2):
+        engine.put_objects(p.project_id, p.root_branch_id, rows, deleted=rows["deleted"], batch={"s": 0})
+    assert engine.get_branch(p.project_id, p.root_branch_id).head_lsn == 2
+    engine.put_objects(p.project_id, p.root_branch_id, rows.limit(0), batch={"s": 1})
+    assert engine.log.refresh().batches == {"s": 1} and [o.path for o in engine.list_objects(p.project_id, p.root_branch_id).items] == ["a"]
+
+
+def test_upkeep(engine, spark, tmp_path):
+    p = engine.create_project()
+    main = p.root_branch_id
+    put = lambda n, text: engine.put_objects(p.project_id, main, spark.range(n).selectExpr("concat('o', id) AS path", f"encode(concat('{text}', id), 'utf-8') AS content"))
+    put(40, "x"), put(40, "x"), put(60, "x")
+    before = engine.get_objects(p.project_id, main).orderBy("path").collect()
+    assert engine.frame("chunks").count() == 60 and len(engine.log.state.chunks) == 2
+    # a chunk that no change names: of a commit that lost its changes
+    engine.log.publish(engine.log.refresh().seq, {"chunks": engine._kept(spark.createDataFrame([(bytearray(b"\1" * 32), bytearray(b"z"), 1)], "hash binary, data binary, length bigint"))})
+    assert engine.orphan_chunks().count() == 1
+    assert engine.compact_chunks() == 3 and engine.frame("chunks").count() == 61
+    assert engine.compact_chunks() == 0 and engine.compact_chunks(clean=True) == 1
+    assert engine.frame("chunks").count() == 60 and engine.orphan_chunks().count() == 0
+    folders = lambda: sum(len(list((tmp_path / "w" / t).iterdir())) for t in ("chunks", "mutations"))
+    held = folders()
+    assert engine.vacuum(hours=1) == 0 and engine.vacuum(hours=-1) >= 4 and folders() < held
+    assert engine.get_objects(p.project_id, main).orderBy("path").collect() == before
+
+
+def test_cleaning_during_a_write_is_a_conflict(engine, spark, monkeypatch):
+    p = engine.create_project()
+    write = engine._write
+
+    def late(*args):
+        other = Engine(spark, engine.log.root)
+        other.log.publish(other.log.refresh().seq, {"replaces": [], "cleaned": True})
+        return write(*args)
+
+    monkeypatch.setattr(engine, "_write", late)
+    with pytest.raises(errors.Conflict):
+        engine.put_object(p.project_id, p.root_branch_id, "a", b"x")
+
+
+def test_a_log_opens_from_its_newest_checkpoint(engine, spark, monkeypatch):
+    p = engine.create_project()
+    for _ in range(130):
+        engine.create_branch(p.project_id, p.root_branch_id)
+    fresh = Engine(spark, engine.log.root)
+    seen, read = [], fresh.log.files.read
+    monkeypatch.setattr(fresh.log.files, "read", lambda path: seen.append(path) or read(path))
+    assert fresh.log.refresh().seq == 131 and len(fresh.log.state.handles) == 131
+    assert len(seen) == 2 + 31 + 1  # pointer, checkpoint 100, the commits after it and the one that is not there
+
+
+def test_objects_are_read_once(engine, spark):
+    # an input that gives other bytes each time it is read still names only chunks that are stored
+    p = engine.create_project()
+    rows = spark.range(50).selectExpr("concat('o', id) AS path", "encode(uuid(), 'utf-8') AS content")
+    engine.put_objects(p.project_id, p.root_branch_id, rows)
+    assert engine.get_objects(p.project_id, p.root_branch_id).filter("content IS NOT NULL").count() == 50 and engine.orphan_chunks().count() == 0
+
+
+def test_stores_that_cannot_create_exclusively_are_refused(engine):
+    engine.log.files.local, engine.log.files.scheme = False, "ftp"
+    with pytest.raises(errors.StorageError):
+        engine.log.files.create("ftp://x/y", "z")
+
+
+def test_deep_chains(spark):
+    n = 10_000
+    nodes = {i: {"node_id": i, "parent_node_id": i - 1 if i else None, "fork_lsn": 2 * i if i else None} for i in range(n)}
+    chain = lineage.chain(nodes, n - 1)
+    log = spark.createDataFrame([(0, 1, "a", False), (0, 3, "a", False), (500, 1001, "b", False), (700, 1401, "b", True), (9_000, 18_001, "c", None)], "node_id bigint, lsn bigint, path string, tombstone boolean")
+    assert sorted((r.path, r.node_id, r.lsn) for r in resolve.resolved(log, chain).collect()) == [("a", 0, 1), ("c", 9_000, 18_001)]
+    assert sorted((r.path, r.lsn) for r in resolve.resolved(log, lineage.chain(nodes, 600)).collect()) == [("a", 1), ("b", 1001)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(errors.StorageError):
+        sources.shared_folder(Session())
