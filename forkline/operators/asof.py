@@ -192,18 +192,20 @@ def rectangles(sheets: DataFrame) -> DataFrame:
     run = swept(events, order, F.when(opens, 1).otherwise(-1), F.struct("path", pos.alias("pos")), "g", "level", "following", 2 * sheets.count())
     own_level = F.when(opens, F.col("level")).otherwise(F.col("level") + 1)
     next_pos = F.when(F.col("following.path") == F.col("path"), F.col("following.pos"))
-    version = F.struct("lo", "lsn", "dead")
     run = run.select("path", "opens", "lo", "hi", "lsn", "dead", "g", own_level.alias("level"), next_pos.alias("next_pos"))
-    # each event asks for the last bracket opened one level up, and is asked for one level down if it opens one
-    role = F.struct((F.col("level") - 1).alias("key"), F.lit(None).cast("struct<lo:bigint,lsn:bigint,dead:int>").alias("given"))
-    offer = F.when(opens, F.struct(F.col("level").alias("key"), version.alias("given")))
-    both = run.select("*", F.explode(F.array_compact(F.array(role, offer))).alias("r")).select("*", "r.*").drop("r", "level")
-    filled = with_last(both, ["key"], "g", BLOCK, "given", "around").filter("given IS NULL").drop("given")
+    # each event asks for the last bracket opened one level up; one that opens is on offer, for one level down
+    both = run.withColumn("offers", F.explode(F.when(opens, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    given = {f"v_{c}": F.when(F.col("offers"), F.col(c)) for c in ("lo", "lsn", "dead")}
+    both = both.withColumns({"key": F.when(F.col("offers"), F.col("level")).otherwise(F.col("level") - 1), **given}).drop("level")
+    filled = with_last(both, ["key"], "g", BLOCK, list(given), "around_").filter("NOT offers")
+    around = F.struct(*[F.col(f"around_v_{c}").alias(c) for c in ("lo", "lsn", "dead")])
+    version = F.struct("lo", "lsn", "dead")
     none = F.lit(None).cast("bigint")
-    under = F.when(opens & (F.col("around.lsn") < F.col("lsn")), F.struct(F.col("lo").alias("x0"), F.col("hi").alias("x1"), F.col("around.lsn").alias("y0"), F.col("lsn").alias("y1"), F.col("around").alias("v")))
-    inner = F.when(opens, version).otherwise(F.col("around"))
-    beside = F.when((F.col("next_pos") > pos) & inner.isNotNull(), F.struct(pos.alias("x0"), F.col("next_pos").alias("x1"), inner["lsn"].alias("y0"), none.alias("y1"), inner.alias("v")))
-    return filled.select("path", F.explode(F.array_compact(F.array(under, beside))).alias("r")).select("path", "r.*")
+    kept = F.col("around_v_lo").isNotNull()
+    under = F.when(opens & kept & (F.col("around_v_lsn") < F.col("lsn")), F.struct(F.col("lo").alias("x0"), F.col("hi").alias("x1"), F.col("around_v_lsn").alias("y0"), F.col("lsn").alias("y1"), around.alias("v")))
+    inner = F.when(opens, version).otherwise(around)
+    beside = F.when((F.col("next_pos") > pos) & (opens | kept), F.struct(pos.alias("x0"), F.col("next_pos").alias("x1"), inner["lsn"].alias("y0"), none.alias("y1"), inner.alias("v")))
+    return filled.select("path", F.explode(F.array(under, beside)).alias("r")).filter("r IS NOT NULL").select("path", "r.*")
 
 
 @tidy

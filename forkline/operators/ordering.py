@@ -62,18 +62,20 @@ def newest(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in df.columns if c not in keys])
 
 
-def with_last(df: DataFrame, keys: list[str], order: str, block: int, value: str, out: str) -> DataFrame:
-    """Add ``out``: the ``value`` of the last earlier row of the same keys that has one; null if none has.
+def with_last(df: DataFrame, keys: list[str], order: str, block: int, values: list[str], prefix: str) -> DataFrame:
+    """Add ``<prefix><value>`` for each of ``values``: those of the last earlier row of the same keys that has them, else null.
 
-    ``order`` is a non-null integer column, unique within its keys; a window group holds one block of it at most.
+    A row has all of the values or none. ``order`` is a non-null integer column, unique within its keys; a window group
+    holds one block of it at most. Values of fixed size keep the aggregation in a hash table.
     """
     blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
     before = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    heads = blocked.groupBy(*keys, "_block").agg(F.max(F.when(F.col(value).isNotNull(), F.struct(order, value))).alias("_tail"))
-    earlier = F.last(f"_tail.{value}", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
-    heads = heads.select(*keys, "_block", earlier.alias("_earlier"))
-    inner = blocked.withColumn("_inner", F.last(value, ignorenulls=True).over(before))
-    return inner.join(heads, [*keys, "_block"]).select(*df.columns, F.coalesce("_inner", "_earlier").alias(out))
+    there = F.when(F.col(values[0]).isNotNull(), F.col(order))
+    heads = blocked.groupBy(*keys, "_block").agg(*[F.max_by(v, there).alias(v) for v in values])
+    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    heads = heads.select(*keys, "_block", *[F.last(v, ignorenulls=True).over(earlier).alias(f"_earlier_{v}") for v in values])
+    inner = blocked.withColumns({f"_inner_{v}": F.last(v, ignorenulls=True).over(before) for v in values})
+    return inner.join(heads, [*keys, "_block"]).select(*df.columns, *[F.coalesce(f"_inner_{v}", f"_earlier_{v}").alias(f"{prefix}{v}") for v in values])
 
 
 #: Rows of one range when all rows are put in one order.
