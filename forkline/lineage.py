@@ -26,20 +26,10 @@ def chain(nodes: dict[int, dict], leaf: int, at_lsn: int | None = None) -> list[
     return out
 
 
-def chain_frame(spark: SparkSession, nodes: DataFrame, leaf: int, at_lsn: int | None = None, levels: int = 100_000) -> DataFrame:
-    """``node_id, depth, cap`` of one leaf by a recursive query over a table of segments."""
-    start = "CAST(NULL AS BIGINT)" if at_lsn is None else f"CAST({int(at_lsn)} AS BIGINT)"
-    return spark.sql(
-        f"""
-        WITH RECURSIVE chain(node_id, parent_node_id, fork_lsn, depth, cap) MAX RECURSION LEVEL {int(levels)} AS (
-          SELECT node_id, parent_node_id, fork_lsn, CAST(0 AS BIGINT), {start} FROM {{nodes}} WHERE node_id = {int(leaf)}
-          UNION ALL
-          SELECT n.node_id, n.parent_node_id, n.fork_lsn, c.depth + 1, least(c.cap, c.fork_lsn)
-          FROM chain c JOIN {{nodes}} n ON n.node_id = c.parent_node_id)
-        SELECT node_id, depth, cap FROM chain
-        """,
-        nodes=nodes.select(F.col("node_id").cast("bigint"), F.col("parent_node_id").cast("bigint"), F.col("fork_lsn").cast("bigint")),
-    )
+def chain_frame(spark: SparkSession, links: list[tuple[int, int]]) -> DataFrame:
+    """``node_id, depth, cap`` of a chain; no limit is a null cap."""
+    rows = [(n, d, None if cap == NO_CAP else cap) for d, (n, cap) in enumerate(links)]
+    return spark.createDataFrame(rows, "node_id bigint, depth bigint, cap bigint")
 
 
 def max_lsns(mutations: DataFrame) -> DataFrame:

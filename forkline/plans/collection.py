@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline import chunking, lineage, resolve
+from forkline import chunking, config, errors, lineage, resolve, streaming
 from forkline.api import Engine
 from forkline.fixtures import HANDLES, Collection, derived_collection
 from forkline.operators.ordering import numbered
@@ -31,7 +32,7 @@ def _over(make: Callable[[Collection], DataFrame]) -> Callable[[SparkSession, st
 
 
 def _chain(c: Collection, branch: str) -> DataFrame:
-    return lineage.chain_frame(c.log.sparkSession, c.node_frame(), HANDLES[branch][0])
+    return lineage.chain_frame(c.log.sparkSession, lineage.chain(c.nodes, HANDLES[branch][0]))
 
 
 def _changed(c: Collection, new: dict) -> DataFrame:
@@ -120,10 +121,13 @@ def _engine(spark: SparkSession) -> Engine:
     return Engine(spark, f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}", chunk_size=CHUNK)
 
 
+def _path() -> Column:
+    return F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 10, "0"))
+
+
 def _bulk(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    path = F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 10, "0"))
-    return docs.select(path.alias("path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"), F.coalesce("source", F.lit("none")).alias("content_type"))
+    return docs.select(_path().alias("path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"), F.coalesce("source", F.lit("none")).alias("content_type"))
 
 
 def engine_bulk_put(spark: SparkSession, folder: str) -> DataFrame:
@@ -246,6 +250,73 @@ def engine_tables(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "branch string, parent string, fork_lsn bigint, head_lsn bigint, n_children bigint")
 
 
+def engine_projects(spark: SparkSession, folder: str) -> DataFrame:
+    """One project per language, listed by pages of two after one was deleted and one made twice; the page of each, and whether it is found by name."""
+    engine = _engine(spark)
+    names = sorted(r[0] for r in table(spark, folder, "documents").select(F.coalesce("lang", F.lit("none"))).distinct().collect())
+    for name in ["gone", *names]:
+        engine.create_project(name)
+    engine.delete_project("gone")
+    rows, cursor, more, page = [], None, True, 0
+    while more:
+        found = engine.list_projects(cursor, 2)
+        rows += [(x.project_id, page, engine.get_project(x.project_id) == x) for x in found.items]
+        cursor, more, page = found.next_cursor, found.has_more, page + 1
+    return spark.createDataFrame(rows, "project_id string, page bigint, found boolean")
+
+
+def engine_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest document written by itself, and its first kilobyte over it: read whole, by chunks, and as it was, with what its head says."""
+    engine = _engine(spark)
+    p = engine.create_project()
+    row = table(spark, folder, "documents").filter("text IS NOT NULL").orderBy(F.octet_length("text").desc(), "doc_id").select("text").first()
+    data, main = row["text"].encode(), p.root_branch_id
+    engine.put_object(p.project_id, main, "a", data, "text/plain")
+    engine.put_object(p.project_id, main, "a", data[:CHUNK])
+    rows = []
+    for name, at in (("then", 1), ("now", None)):
+        meta = engine.get_object_meta(p.project_id, main, "a", at)
+        whole, parts = engine.get_object(p.project_id, main, "a", at), b"".join(engine.iter_object(p.project_id, main, "a", at))
+        rows.append((name, meta.lsn, meta.size, meta.content_type, len(meta.chunks), hashlib.sha256(whole).hexdigest(), hashlib.sha256(parts).hexdigest()))
+    return spark.createDataFrame(rows, "name string, lsn bigint, size bigint, content_type string, n_chunks bigint, whole string, parts string")
+
+
+def engine_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """The code of each refused call, on a project with a fork of a fork."""
+    engine, p, main, fork, n = _two_layers(spark, folder)
+    child = engine.create_branch(p, fork).branch_id
+    calls = {
+        "get unknown project": lambda: engine.get_project("none"), "create it twice": lambda: engine.create_project(p), "get unknown branch": lambda: engine.get_branch(p, "none"),
+        "read unknown path": lambda: engine.get_object(p, main, "none"), "get unknown snapshot": lambda: engine.get_snapshot(p, main, "none"), "delete unknown snapshot": lambda: engine.delete_snapshot(p, main, "none"),
+        "delete a root": lambda: engine.delete_branch(p, main), "delete a parent": lambda: engine.delete_branch(p, fork), "merge a root": lambda: engine.merge(p, main), "merge a parent": lambda: engine.merge(p, fork),
+        "reset a root": lambda: engine.reset_from_parent(p, main), "restore beyond the head": lambda: engine.restore(p, child, n + 10**9), "restore below zero": lambda: engine.restore(p, main, -1),
+        "fork beyond the head": lambda: engine.fork_at_lsn(p, main, 3 * n + 1), "neither position nor snapshot": lambda: engine.restore(p, main), "both": lambda: engine.restore(p, main, 1, "x"),
+        "bad cursor": lambda: engine.list_objects(p, main, cursor="%"), "unknown cursor": lambda: engine.list_projects(resolve.encode_cursor("none")), "too many": lambda: engine.list_objects(p, main, limit=1001),
+        "NUL in a path": lambda: engine.put_object(p, main, "a\0", b""), "NUL in a prefix": lambda: engine.list_objects(p, main, prefix="\0"), "chunks of no size": lambda: Engine(spark, engine.log.root, chunk_size=0),
+        "unknown chunker": lambda: config.settings({"FORKLINE__CHUNKER__TYPE": "other"}), "after all that": lambda: engine.get_branch(p, fork),
+    }
+    rows = []
+    for name, call in calls.items():
+        try:
+            call()
+            rows.append((name, "OK"))
+        except errors.EngineError as e:
+            rows.append((name, e.code))
+    return spark.createDataFrame(rows, "call string, code string")
+
+
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as a stream into a branch, those whose name ends with 7 as deletes; run twice."""
+    engine = _engine(spark)
+    p = engine.create_project()
+    kind = spark.read.parquet(f"{folder}/documents.parquet").schema
+    for _ in range(2):
+        docs = spark.readStream.schema(kind).option("pathGlobFilter", "documents.parquet").parquet(folder)
+        rows = docs.select(_path().alias("path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"), _path().endswith("7").alias("deleted"))
+        streaming.ingest(rows, engine, p.project_id, p.root_branch_id, f"{engine.log.root}/_streams/documents").awaitTermination()
+    return engine.visible(p.project_id, p.root_branch_id).select(SEEN)
+
+
 def _segments(spark: SparkSession, folder: str) -> dict[int, dict]:
     """The recorded segments, with parents only where the project records them."""
     rows = table(spark, folder, "branch_nodes").filter("node_id IS NOT NULL").distinct().collect()
@@ -315,7 +386,7 @@ QUERIES = {
     "snapshot_view": _over(lambda c: _view(c, "staging", c.nodes[3]["fork_lsn"] + 20).select("path", "lsn", "size")),
     "tombstones_visible": _over(lambda c: resolve.top_versions(resolve.within_chain(c.log, lineage.chain(c.nodes, 4))).filter("tombstone").select("path", "lsn")),
     "version_history": _over(lambda c: resolve.within_chain(c.log, lineage.chain(c.nodes, 3)).filter(F.col("path") == HIT).select("node_id", "lsn", "tombstone")),
-    **{f.__name__: f for f in (chunks_fixed_1024, chunk_dedup_stats, chunk_keys, shared_chunks, object_reassembly, content_chunk_coverage, content_chunk_bounds, chunk_orphans, engine_bulk_put, engine_read_back, engine_fork_merge, engine_fork_at_lsn, engine_restore, engine_reset, engine_snapshots, engine_pages, engine_bulk_delete, engine_tables, resolve_deepest, resolve_ten_branches)},
+    **{f.__name__: f for f in (chunks_fixed_1024, chunk_dedup_stats, chunk_keys, shared_chunks, object_reassembly, content_chunk_coverage, content_chunk_bounds, chunk_orphans, engine_bulk_put, engine_read_back, engine_fork_merge, engine_fork_at_lsn, engine_restore, engine_reset, engine_snapshots, engine_pages, engine_bulk_delete, engine_tables, engine_projects, engine_bytes, engine_errors, stream_ingest, resolve_deepest, resolve_ten_branches)},
 }
 
 _BASE = """
@@ -395,6 +466,17 @@ SELECT 'fork' AS kind, path, CAST(k.n + r AS BIGINT) AS lsn, size FROM rest, k W
 UNION ALL SELECT 'main', path, CAST(k.n + r AS BIGINT), size FROM en, k""",
     "engine_tables": f"""WITH {_LAYERS} SELECT 'main' AS branch, NULL AS parent, CAST(NULL AS BIGINT) AS fork_lsn, CAST(2 * n AS BIGINT) AS head_lsn, CAST(1 AS BIGINT) AS n_children FROM k
 UNION ALL SELECT 'fork', 'main', CAST(n AS BIGINT), CAST(n + m AS BIGINT), 0 FROM k""",
+    "engine_projects": """WITH l AS (SELECT DISTINCT coalesce(lang, 'none') project_id FROM documents)
+SELECT project_id, CAST((row_number() OVER (ORDER BY encode(project_id)) - 1) // 2 AS BIGINT) AS page, true AS found FROM l""",
+    "engine_bytes": f"""WITH d AS (SELECT encode(text) b, strlen(text) n FROM documents WHERE text IS NOT NULL ORDER BY strlen(text) DESC, doc_id LIMIT 1)
+SELECT 'then' AS name, CAST(1 AS BIGINT) AS lsn, CAST(n AS BIGINT) AS size, 'text/plain' AS content_type, CAST((n + {CHUNK - 1}) // {CHUNK} AS BIGINT) AS n_chunks, sha256(b) AS whole, sha256(b) AS parts FROM d
+UNION ALL SELECT 'now', 2, CAST(least(n, {CHUNK}) AS BIGINT), 'application/octet-stream', 1, sha256(b[1:{CHUNK}]), sha256(b[1:{CHUNK}]) FROM d""",
+    "engine_errors": """SELECT * FROM (VALUES ('get unknown project', 'PROJECT_NOT_FOUND'), ('create it twice', 'PROJECT_ALREADY_EXISTS'), ('get unknown branch', 'BRANCH_NOT_FOUND'), ('read unknown path', 'OBJECT_NOT_FOUND'),
+ ('get unknown snapshot', 'SNAPSHOT_NOT_FOUND'), ('delete unknown snapshot', 'SNAPSHOT_NOT_FOUND'), ('delete a root', 'BRANCH_IS_ROOT'), ('delete a parent', 'BRANCH_HAS_CHILDREN'), ('merge a root', 'BRANCH_IS_ROOT'),
+ ('merge a parent', 'BRANCH_HAS_CHILDREN'), ('reset a root', 'BRANCH_IS_ROOT'), ('restore beyond the head', 'INVALID_RESTORE_LSN'), ('restore below zero', 'INVALID_RESTORE_LSN'), ('fork beyond the head', 'INVALID_RESTORE_LSN'),
+ ('neither position nor snapshot', 'INVALID_INPUT'), ('both', 'INVALID_INPUT'), ('bad cursor', 'INVALID_CURSOR'), ('unknown cursor', 'INVALID_CURSOR'), ('too many', 'INVALID_INPUT'), ('NUL in a path', 'INVALID_INPUT'),
+ ('NUL in a prefix', 'INVALID_INPUT'), ('chunks of no size', 'INVALID_INPUT'), ('unknown chunker', 'INVALID_INPUT'), ('after all that', 'OK')) v(call, code)""",
+    "stream_ingest": f"WITH {_BULK} SELECT path, lsn, size FROM (SELECT path, CAST(row_number() OVER (ORDER BY path) AS BIGINT) lsn, CAST(strlen(t) AS BIGINT) size FROM bulk) WHERE NOT ends_with(path, '7')",
     "resolve_deepest": f"WITH RECURSIVE {_REAL} leaf AS (SELECT 'x' branch_id, node_id FROM tree ORDER BY depth DESC, node_id LIMIT 1), {_REAL_VIEW} SELECT node_id, path, lsn FROM (SELECT DISTINCT * FROM top WHERE rn = 1) WHERE NOT dead",
     "resolve_ten_branches": f"""WITH RECURSIVE {_REAL}
 cur AS (SELECT project_id, branch_id, arg_max(node_id, commit_seq) node_id FROM branch_handles GROUP BY ALL),
