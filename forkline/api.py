@@ -14,14 +14,14 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import Any, TypeVar
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline import chunking, lineage, resolve
+from forkline import chunking, lineage, resolve, stores
 from forkline.commitlog import CommitLog, State
 from forkline.errors import (
     BranchHasChildren, BranchIsRoot, BranchNotFound, ChunkStoreError, Conflict, InvalidCursor, InvalidInput, InvalidRestoreLsn,
-    ObjectNotFound, ProjectAlreadyExists, ProjectNotFound, SnapshotNotFound,
+    ObjectNotFound, ProjectAlreadyExists, ProjectNotFound, SnapshotNotFound, StorageError,
 )
 from forkline.operators.ordering import numbered
 from forkline.sources import tidy, written
@@ -54,13 +54,21 @@ def _node_id() -> int:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, chunk_size: int | None = None, chunker: chunking.Chunker | None = None):
-        """``chunker`` says how objects are cut; by default into blocks of ``chunk_size`` bytes."""
+    def __init__(
+        self, spark: SparkSession, root: str, chunk_size: int | None = None, chunker: chunking.Chunker | None = None,
+        log: stores.Log | None = None, chunks: stores.ChunkStore | None = None, numbering: stores.Numbering = stores.dense,
+    ):
+        """``chunker`` says how objects are cut; by default into blocks of ``chunk_size`` bytes.
+
+        Commits, chunks and positions can come from elsewhere: see :mod:`forkline.stores`.
+        """
         if chunk_size is not None and chunker is not None:
             raise InvalidInput("give a chunk size or a chunker, not both")
         self.spark = spark
         self.chunker = chunker or chunking.FixedSize(chunking.DEFAULT_CHUNK_SIZE if chunk_size is None else chunk_size)
-        self.log = CommitLog(spark, root)
+        self.log = log or CommitLog(spark, root)
+        self.chunks = chunks or stores.PrefixFolders(spark)
+        self.numbering = numbering
 
     # state
 
@@ -236,10 +244,11 @@ class Engine:
         seen = view(state)
         handle, target, _, head = seen
         records = resolve.merge_records(self._log_of(state, [(handle["node_id"], lineage.NO_CAP)]), handle["node_id"])
-        rows, n = numbered(records.drop("lsn"), [F.col("path")], head + 1, "lsn")
+        first = self._first(head)
+        rows, n = numbered(records.drop("lsn"), [F.col("path")], first, "lsn")
         if n == 0:
             return self._info(state, target), 0
-        actions = self._appended(rows, project, target["node_id"], head + 1, head + n)
+        actions = self._appended(rows, project, target["node_id"], first, first + n - 1)
 
         def step(now: State):
             if view(now) != seen:
@@ -314,21 +323,18 @@ class Engine:
         return self.spark.read.schema(MUTATIONS).parquet(*paths)
 
     def _stored(self, state: State, hashes: Iterable[bytes] | None = None) -> DataFrame | None:
-        """The stored chunks; of given hashes only the folders of their prefixes are opened."""
-        wanted = {h.hex()[0] for h in hashes} if hashes is not None else set("0123456789abcdef")
-        paths = [f"{c['path']}/prefix={x}" for c in state.chunks for x in c["prefixes"] if x in wanted]
-        return self.spark.read.schema(CHUNKS).parquet(*paths) if paths else None
+        """The stored chunks, of given hashes only what may hold them."""
+        return self.chunks.open(state.chunks, hashes)
 
     def _kept(self, chunks: DataFrame) -> list[dict]:
-        """Chunks written by prefix, sorted by hash and with a filter by which a look-up skips most of the files; named for a commit."""
-        folder = self.log.new_folder("chunks")
-        out = chunks.select(*[F.col(f.name).cast(f.dataType) for f in CHUNKS], chunking.prefix_of(F.col("hash")).alias("prefix"))
-        seen = Observation()
-        counted = out.observe(seen, *[F.count(F.when(F.col("prefix") == x, 1)).alias(x) for x in "0123456789abcdef"])
-        writer = counted.sortWithinPartitions("prefix", "hash").write.partitionBy("prefix").option("compression", "zstd")
-        writer.option("parquet.bloom.filter.enabled#hash", "true").option("parquet.bloom.filter.expected.ndv#hash", "100000").parquet(folder)
-        prefixes = "".join(x for x, n in seen.get.items() if n)
-        return [{"path": folder, "prefixes": prefixes}] if prefixes else []
+        """Chunks written and named for a commit."""
+        return self.chunks.keep(chunks, self.log.new_folder("chunks"))
+
+    def _first(self, head: int) -> int:
+        first = self.numbering(head)
+        if first <= head:
+            raise StorageError(f"position {first} is not after {head}")
+        return first
 
     def _appended(self, rows: DataFrame, project: str, node_id: int, first: int, last: int) -> dict[str, Any]:
         """Write changes of one segment, sorted by path, and name them for a commit."""
@@ -356,7 +362,7 @@ class Engine:
                 return {}, (self._head(now, handle), 0)
             if n == 0:
                 return {"batches": batch} if batch else {}, (self._head(now, handle), 0)
-            first = self._head(now, handle) + 1
+            first = self._first(self._head(now, handle))
             actions = self._appended(counted.withColumn("lsn", F.col("_at") + first), project, node["node_id"], first, first + n - 1)
             return actions | extra, (first, n)
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from forkline import errors, lineage, resolve, sources
+from forkline import errors, lineage, resolve, schema, sources
 from forkline.api import Engine
 
 
@@ -489,3 +489,24 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(errors.StorageError):
         sources.shared_folder(Session())
+
+
+def test_stores_and_numbers_can_be_replaced(spark, tmp_path):
+    class Memory:
+        held: dict[str, list] = {}
+
+        def keep(self, chunks, folder):
+            self.held[folder] = chunks.collect()
+            return [{"path": folder, "prefixes": ""}]
+
+        def open(self, named, hashes=None):
+            rows = [r for c in named for r in self.held[c["path"]]]
+            return spark.createDataFrame(rows, schema.CHUNKS) if rows else None
+
+    engine = Engine(spark, f"file://{tmp_path}/w", chunks=Memory(), numbering=lambda head: (head // 100 + 1) * 100)
+    p = engine.create_project()
+    assert [engine.put_object(p.project_id, p.root_branch_id, x, x.encode()).lsn for x in ("a", "b")] == [100, 200]
+    assert engine.get_object(p.project_id, p.root_branch_id, "a") == b"a" and not (tmp_path / "w" / "chunks").exists()
+    assert read(engine, p.project_id, p.root_branch_id, "b", 199) is None
+    with pytest.raises(errors.StorageError):
+        Engine(spark, engine.log.root, log=engine.log, numbering=lambda head: head).put_object(p.project_id, p.root_branch_id, "c", b"")
