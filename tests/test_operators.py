@@ -111,8 +111,8 @@ def test_hierarchy_matches_brute_force(spark, seed):
     held = [r for r in tree.collect() if r.depth >= 0]
     assert sorted(r.start for r in held) == list(range(len(held)))
     ups = {(v, w, d) for v in parent if want[v][1] >= 0 for d, w in enumerate(chain_of(parent, v)) if d}
-    assert {(r.member_key, r.ancestor_key, r.distance) for r in hierarchy.ancestors(tree).collect()} == ups
-    assert {(r.descendant_key, r.member_key) for r in hierarchy.descendants(tree).collect()} == {(v, w) for v, w, _ in ups}
+    assert {(r.member_key, r.ancestor_key, r.distance) for r in hierarchy.ancestors(tree, tree).collect()} == ups
+    assert {(r.descendant_key, r.member_key) for r in hierarchy.descendants(tree, tree).collect()} == {(v, w) for v, w, _ in ups}
     assert all(r.path == "".join(f"/{x}" for x in reversed(chain_of(parent, r.member_key))) for r in held)
 
 
@@ -265,3 +265,28 @@ def test_rows_of_nulls_change_nothing(spark):
 
     for plain, nulled in zip(results(lambda df: df), results(nulls)):
         assert rows(plain) == rows(nulled)
+
+
+def test_last_values_and_sweeps_over_blocks(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(3), i, rnd.choice([None, i * 10])) for i in rnd.sample(range(500), 200)]
+    df = spark.createDataFrame(rows, "k int, at bigint, v bigint").withColumn("w", F.col("v") + 1)
+    got = {(r.k, r["at"]): (r.last_v, r.last_w) for r in ordering.with_last(df, ["k"], "at", 16, ["v", "w"], "last_").collect()}
+    for k, at, _ in rows:
+        earlier = [(a, v) for kk, a, v in rows if kk == k and a < at and v is not None]
+        assert got[k, at] == ((max(earlier)[1], max(earlier)[1] + 1) if earlier else (None, None))
+    run = ordering.swept(df, [F.col("k"), F.col("at")], F.when(F.col("v").isNull(), -1).otherwise(1), F.struct("k", "at"), "n", "level", "following", 200).collect()
+    level = 0
+    for i, r in enumerate(sorted(run, key=lambda r: (r.k, r["at"]))):
+        level += -1 if r.v is None else 1
+        assert (r.n, r.level) == (i + 1, level)
+    assert sum(r.following is None for r in run) == 1
+    assert ordering.swept(df.limit(0), [F.col("k"), F.col("at")], F.lit(1), F.struct("k", "at"), "n", "level", "following").count() == 0
+
+
+def test_sorted_offsets(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice([None, 1, 2]), i, rnd.randrange(1, 5)) for i in range(100)]
+    df = spark.createDataFrame(rows, "g int, i int, w bigint")
+    got = {r.i: r.offset for r in ordering.with_sorted_offset(df, ["g"], [-F.col("i")], "w").collect()}
+    assert got == {i: sum(w for gg, j, w in rows if gg == g and j > i) for g, i, _ in rows}
