@@ -404,9 +404,10 @@ class Engine:
         rows = rows.withColumns({"content": F.when(F.col("_gone"), F.lit(b"")).otherwise(F.col("content")), "content_type": F.when(F.col("_gone"), "").otherwise(F.col("content_type"))})
         rows = chunking.staged_chunks(self.chunker.with_cuts(self._checked(rows), "content"), "content", "cuts")
         folder = self.log.new_folder("staged")
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
         with self._paths_checked():
-            rows.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "lz4").parquet(folder)
-        staged = self.spark.read.parquet(folder)
+            rows.write.option("compression", "lz4").parquet(folder)
+        staged = self.spark.read.schema(rows.schema).parquet(folder)
         try:
             places = written(chunking.fresh_keys(staged, self._stored(state), "_row"))
             chunks = self._kept(chunking.chunks_at(staged, places, "_row"))

@@ -188,7 +188,7 @@ def rectangles(sheets: DataFrame) -> DataFrame:
     opens = F.col("opens") == 1
     pos = F.when(opens, F.col("lo")).otherwise(F.col("hi"))
     # at one position those that end come first, inner ones before outer ones, then those that begin, outer ones first
-    order = [F.col("path"), pos, F.col("opens"), -F.when(opens, F.col("hi")).otherwise(F.col("lo")), F.when(opens, F.col("lsn")).otherwise(-F.col("lsn"))]
+    order = [F.col("path"), pos, F.col("opens"), -F.when(opens, F.col("hi")).otherwise(F.col("lo")), F.when(opens, F.col("lsn")).otherwise(F.bitwise_not("lsn"))]
     run = swept(events, order, F.when(opens, 1).otherwise(-1), F.struct("path", pos.alias("pos")), "g", "level", "following", 2 * sheets.count())
     own_level = F.when(opens, F.col("level")).otherwise(F.col("level") + 1)
     next_pos = F.when(F.col("following.path") == F.col("path"), F.col("following.pos"))
@@ -237,6 +237,6 @@ def visible_versions(requests: DataFrame, handles: DataFrame, nodes: DataFrame,
     probes = intervals.looked_up(intervals.looked_up(probes, "start", "x"), "at", "y")
     met = probes.join(filed, ["path", "x_level", "x_cell", "y_level", "y_cell"])
     met = met.filter((F.col("x0") <= F.col("start")) & (F.col("start") < F.col("x1")) & (F.col("y0") <= F.col("at")) & (F.col("y1").isNull() | (F.col("at") < F.col("y1"))))
-    best = met.groupBy("request_id").agg(F.min(F.struct("hop", (-F.col("v.lo")).alias("lo"), (-F.col("v.lsn")).alias("lsn"), "v.dead")).alias("v"))
+    best = met.groupBy("request_id").agg(F.min(F.struct("hop", (-F.col("v.lo")).alias("lo"), F.bitwise_not(F.col("v.lsn")).alias("lsn"), "v.dead")).alias("v"))
     segment = places.select((-F.col("start")).alias("lo"), F.col("id").alias("node_id"))
-    return best.filter("v.dead = 0").select("request_id", "v.lo", (-F.col("v.lsn")).alias("lsn")).join(segment, "lo").select("request_id", "node_id", "lsn")
+    return best.filter("v.dead = 0").select("request_id", "v.lo", F.bitwise_not(F.col("v.lsn")).alias("lsn")).join(segment, "lo").select("request_id", "node_id", "lsn")

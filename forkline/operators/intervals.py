@@ -21,6 +21,7 @@ def _width(level: Column) -> Column:
 
 
 def _level(length: Column) -> Column:
+    """The level of a length; the highest for null, a length that no number holds."""
     found = F.lit(LEVELS - 1)
     for k in reversed(range(LEVELS - 1)):
         found = F.when(length <= F.lit(STEP**k), F.lit(k)).otherwise(found)
@@ -38,7 +39,7 @@ def filed(intervals: DataFrame, lo: str, hi: str, axis: str = "") -> DataFrame:
     """
     to_level, to_cell = _names(axis)
     leveled = intervals.filter(F.col(lo).isNotNull() & (F.col(hi).isNull() | (F.col(hi) > F.col(lo))))
-    level = F.when(F.col(hi).isNull(), F.lit(OPEN)).otherwise(_level(F.col(hi) - F.col(lo)))
+    level = F.when(F.col(hi).isNull(), F.lit(OPEN)).otherwise(_level(F.try_subtract(F.col(hi), F.col(lo))))
     leveled = leveled.withColumn(to_level, level.cast("int"))
     first = F.floor(F.col(lo) / _width(F.col(to_level)))
     last = F.floor((F.col(hi) - 1) / _width(F.col(to_level)))
@@ -54,7 +55,7 @@ def looked_up(points: DataFrame, at: str, axis: str = "") -> DataFrame:
 
 def levels_in_use(intervals: DataFrame, lo: str, hi: str) -> Column:
     """Aggregate: the set of levels of a group's intervals, as bits."""
-    level = F.when(F.col(hi).isNull(), F.lit(OPEN)).otherwise(_level(F.col(hi) - F.col(lo)))
+    level = F.when(F.col(hi).isNull(), F.lit(OPEN)).otherwise(_level(F.try_subtract(F.col(hi), F.col(lo))))
     return F.bit_or(F.call_function("shiftleft", F.lit(1), level.cast("int")))
 
 

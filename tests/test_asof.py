@@ -95,3 +95,14 @@ def test_empty_tables(spark):
     for i in range(4):
         some = [f.limit(0) if k == i else f for k, f in enumerate(frames)]
         assert asof.visible_versions(*some).count() == 0 or i == 2
+
+
+def test_positions_at_the_ends_of_their_type(spark):
+    least, most = -(2**63), 2**63 - 1
+    nodes = spark.createDataFrame([("p", 1, None, None), ("p", 2, 1, most), ("p", 3, 1, least)], "project_id string, node_id bigint, parent_node_id bigint, fork_lsn bigint")
+    handles = spark.createDataFrame([("p", f"b{i}", i, 1) for i in (1, 2, 3)], "project_id string, branch_id string, node_id bigint, commit_seq bigint")
+    mutations = spark.createDataFrame([(1, "a", least, None), (1, "a", 5, None), (1, "b", 7, None)], "node_id bigint, path string, lsn bigint, tombstone boolean")
+    reads = [(1, "p", "b1", "a", None), (2, "p", "b1", "a", most), (3, "p", "b1", "a", 4), (4, "p", "b2", "b", None), (5, "p", "b2", "b", least), (6, "p", "b3", "b", None)]
+    requests = spark.createDataFrame(reads, "request_id bigint, project_id string, branch_id string, path string, at_lsn bigint")
+    got = sorted(map(tuple, asof.visible_versions(requests, handles, nodes, mutations).collect()))
+    assert got == [(1, 1, 5), (2, 1, 5), (3, 1, least), (4, 1, 7)]
