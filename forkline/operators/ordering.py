@@ -95,7 +95,8 @@ def swept(df: DataFrame, order: list[Column], step: Column, at: Column, number:
     written. ``rows`` is about how many there are, where that is known to be many.
     """
     spark = df.sparkSession
-    placed = written(df.repartitionByRange(ranges_of(spark, rows), *order).withColumn("_part", F.spark_partition_id()))
+    ranges = ranges_of(spark, rows)
+    placed = written(df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()))
     sums = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum(step.cast("bigint")).alias("s"), F.min(at).alias("first"))
     rows, n, s = [], 0, 0
     found = sorted(sums.collect(), key=lambda r: r["_part"])
@@ -104,9 +105,11 @@ def swept(df: DataFrame, order: list[Column], step: Column, at: Column, number:
         n, s = n + r["n"], s + r["s"]
     kind = next(f.dataType for f in sums.schema if f.name == "first").simpleString()
     bases = F.broadcast(spark.createDataFrame(rows, f"_part int, _n bigint, _s bigint, _next {kind}"))
+    # as many tasks as ranges, also where the session has fewer shuffle partitions
+    spread = placed.repartition(ranges, "_part") if ranges > ranges_of(spark, 0) else placed
     w = W.partitionBy("_part").orderBy(*order)
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = placed.withColumns({number: F.row_number().over(w), level: F.sum(step.cast("bigint")).over(upto), following: F.lead(at).over(w)})
+    run = spread.withColumns({number: F.row_number().over(w), level: F.sum(step.cast("bigint")).over(upto), following: F.lead(at).over(w)})
     out = written(
         run.join(bases, "_part").select(
             *df.columns, (F.col(number) + F.col("_n")).alias(number), (F.col(level) + F.col("_s")).alias(level), F.coalesce(following, "_next").alias(following)

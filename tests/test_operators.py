@@ -267,7 +267,9 @@ def test_rows_of_nulls_change_nothing(spark):
         assert rows(plain) == rows(nulled)
 
 
-def test_last_values_and_sweeps_over_blocks(spark):
+@pytest.mark.parametrize("rows_of_a_range", [5, 1_000_000])
+def test_last_values_and_sweeps_over_blocks(spark, monkeypatch, rows_of_a_range):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", rows_of_a_range)
     rnd = random.Random(4)
     rows = [(rnd.randrange(3), i, rnd.choice([None, i * 10])) for i in rnd.sample(range(500), 200)]
     df = spark.createDataFrame(rows, "k int, at bigint, v bigint").withColumn("w", F.col("v") + 1)
