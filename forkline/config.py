@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 
 from forkline.chunking import DEFAULT_CHUNK_SIZE, Chunker, ContentDefined, FixedSize
 from forkline.errors import InvalidInput
+from forkline.sources import is_local
 
 PREFIX = "FORKLINE__"
 
@@ -61,4 +62,6 @@ def engine(spark: SparkSession, env: Mapping[str, str] | None = None):
     from forkline.api import Engine
 
     s = settings(env)
+    if s.root == Settings.root and not is_local(spark):
+        raise InvalidInput(f"{PREFIX}WAREHOUSE__ROOT must be set on a cluster")
     return Engine(spark, s.root, chunker=s.chunker)

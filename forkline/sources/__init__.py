@@ -40,6 +40,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether everything runs in one process on this machine."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
 
@@ -50,7 +56,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if context.master != "local" and not context.master.startswith("local["):
+    if not is_local(spark):
         raise StorageError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _OWN:
         _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='forkline-')}"

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from forkline import errors, lineage, resolve, schema, sources
+from forkline import config, errors, lineage, resolve, schema, sources
 from forkline.api import Engine
 
 
@@ -340,7 +340,6 @@ def test_stream_ingest(engine, spark, tmp_path):
 
 
 def test_content_defined_engine(spark, tmp_path):
-    from forkline import config
 
     env = {"FORKLINE__WAREHOUSE__ROOT": f"file://{tmp_path}/c", "FORKLINE__CHUNKER__TYPE": "cdc"} | {f"FORKLINE__CHUNKER__{k}_BYTES": v for k, v in (("MIN", "64"), ("AVG", "256"), ("MAX", "1024"))}
     engine = config.engine(spark, env)
@@ -489,6 +488,8 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(errors.StorageError):
         sources.shared_folder(Session())
+    with pytest.raises(errors.InvalidInput):
+        config.engine(Session(), {})
 
 
 def test_stores_and_numbers_can_be_replaced(spark, tmp_path):
