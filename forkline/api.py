@@ -128,7 +128,7 @@ class Engine:
 
     def list_projects(self, cursor: str | None = None, limit: int | None = None) -> Page:
         state = self.log.refresh()
-        return self._page(sorted(state.projects), lambda k: Project(**state.projects[k]), cursor, limit)
+        return self._page(sorted(list(state.projects)), lambda k: Project(**state.projects[k]), cursor, limit)
 
     def delete_project(self, project: str) -> None:
         def step(state: State):
@@ -177,7 +177,7 @@ class Engine:
     def list_branches(self, project: str, cursor: str | None = None, limit: int | None = None) -> Page:
         state = self.log.refresh()
         self._project(state, project)
-        keys = [b for p, b in state.handles if p == project]
+        keys = [b for p, b in list(state.handles) if p == project]
         return self._page(keys, lambda b: self._info(state, state.handles[project, b]), cursor, limit)
 
     def list_children(self, project: str, branch: str) -> list[str]:
@@ -185,7 +185,7 @@ class Engine:
 
     @staticmethod
     def _children(state: State, project: str, branch: str) -> list[str]:
-        return sorted(b for (p, b), h in state.handles.items() if p == project and h["parent_branch_id"] == branch)
+        return sorted(b for (p, b), h in list(state.handles.items()) if p == project and h["parent_branch_id"] == branch)
 
     def restore(self, project: str, branch: str, lsn: int | None = None, snapshot_id: str | None = None) -> tuple[BranchInfo, BranchInfo]:
         """Rewind a branch in place; a new child branch keeps its whole history. One commit does both."""
@@ -296,7 +296,7 @@ class Engine:
         state = self.log.refresh()
         self._project(state, project)
         self._branch(state, project, branch)
-        rows = {s: r for (p, b, s), r in state.snapshots.items() if (p, b) == (project, branch)}
+        rows = {s: r for (p, b, s), r in list(state.snapshots.items()) if (p, b) == (project, branch)}
         return self._page(list(rows), lambda s: Snapshot(s, branch, rows[s]["lsn"], rows[s]["created_at"]), cursor, limit)
 
     def delete_snapshot(self, project: str, branch: str, snapshot_id: str) -> None:
