@@ -511,3 +511,14 @@ def test_stores_and_numbers_can_be_replaced(spark, tmp_path):
     assert read(engine, p.project_id, p.root_branch_id, "b", 199) is None
     with pytest.raises(errors.StorageError):
         Engine(spark, engine.log.root, log=engine.log, numbering=lambda head: head).put_object(p.project_id, p.root_branch_id, "c", b"")
+
+
+def test_threads_share_one_engine(engine):
+    from concurrent.futures import ThreadPoolExecutor
+
+    p = engine.create_project()
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda _: engine.create_branch(p.project_id, p.root_branch_id).branch_id, range(120)))
+    fresh = Engine(engine.spark, engine.log.root).log.refresh()
+    assert len(set(made)) == 120 and engine.log.state.seq == fresh.seq == 121
+    assert engine.log.state.handles == fresh.handles and engine.log.state.nodes == fresh.nodes
