@@ -251,7 +251,8 @@ def leaked(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text
     holds what any of them holds. Texts are used whole, in slices that overlap by a window. Item fingerprints are
     broadcast only after a count shows that they are few; otherwise the fingerprints meet in a shuffled join. Hits shrink
     to diagonals (how far an item would have to be moved to lie on the hit), of which a document has at most as many as
-    letters with each item. Texts are decoded again only for the documents with a hit.
+    letters with each item. Texts are decoded again only for the documents with a hit, which meet their hits in a sorted
+    join: the item texts of the hits are never broadcast.
     """
     shipped(documents.sparkSession)
     texts = documents.select(F.col(doc_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.col("text") != ""))
@@ -267,4 +268,5 @@ def leaked(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text
     met = written(met)
     docs, _ = small_side(met.select(F.col("doc_id").alias("id")))
     held = texts.join(docs, "id", "left_semi").withColumnRenamed("id", "doc_id")
-    return _extended(held.join(met, "doc_id").select("doc_id", "text", "wanted")).distinct()
+    # sorted, as Spark would broadcast by file sizes, in which a repeated item text takes a few bytes and in memory all of its own
+    return _extended(held.join(met.hint("merge"), "doc_id").select("doc_id", "text", "wanted")).distinct()

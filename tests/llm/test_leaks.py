@@ -129,6 +129,17 @@ def test_gram_hashes_depend_on_the_gram_only():
         assert len({h for g, h in zip(grams, hashes) if leaks.GAP not in g}) == len({g for g in grams if leaks.GAP not in g})
 
 
+def test_item_texts_of_hits_are_not_broadcast(spark):
+    # both sides of the last join are small enough in the files for Spark to broadcast them
+    docs = spark.range(1000).selectExpr("id AS doc_id", f"concat('note ', id, ' ', \"{ITEM}\") AS text")
+    items = spark.range(20).selectExpr("id AS item_id", f"\"{ITEM}\" AS item_text")
+    found = leaks.leaked(docs, items)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    last = next(line for line in plan.splitlines() if "Join [doc_id" in line)
+    assert "SortMergeJoin" in last and "Inner" in last
+    assert found.count() == 20_000
+
+
 def test_archive_matches_brute_force(spark):
     docs = spark.read.parquet(f"{conftest.DATA}/documents.parquet").collect()
     items = {r.item_id: leaks.Item(r.item_text) for r in spark.read.parquet(f"{conftest.DATA}/eval_items.parquet").collect()}
